@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> (module, name of its SQL or None)
 QUERIES: dict[str, tuple[str, str | None]] = {
+    "op1_ngram_join": ("ngram_join", None),
     "op2_mixing": ("mixing", "OP2_SQL"),
+    "op5_quality": ("quality", None),
+    "op6_packing": ("packing", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
+    "op8_toxicity": ("toxicity", None),
     "op10_url_filters": ("url_filter", "OP10_SQL"),
 }
 
