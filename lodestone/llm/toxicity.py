@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, UPPER, held_out
+from lodestone.llm.common import LOWER, UPPER, held_out, let
 from lodestone.llm.labelled import training_rows
 
 SAMPLE = 8000
@@ -213,7 +213,10 @@ def learned_lexicon(train: DataFrame, most: int = LEARNED_WORDS) -> list[str]:
     """Words of the training sample that mark toxic documents in many contexts (at most ``most``)."""
     words = F.split(F.translate(F.col("text"), UPPER, LOWER), r"[\x20\x09-\x0D]+")
     words = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(words, i - 1), F.lit("")).alias("prev")))
+    pairs = let(
+        words,
+        lambda v: F.transform(v, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(v, i - 1), F.lit("")).alias("prev"))),
+    )
     each = train.select("doc_id", "label", F.explode(pairs).alias("p")).select("doc_id", "label", "p.word", "p.prev").where("length(word) > 1")
     counts = each.groupBy("word").agg(
         F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("bad"),
