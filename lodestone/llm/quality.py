@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 Every whole text is a bag of terms: its words (lower-cased, bare) and the outward shapes of its words (letter
-case, digits, the run of signs at either end), hashed into ``BUCKETS`` columns. Log-entropy weights and a
+case, digits, the run of signs at either end, repeats of the word before), hashed into ``BUCKETS`` columns. Log-entropy weights and a
 truncated singular value decomposition, both fitted on the labelled sample, turn that into a unit vector of
 ``DIMENSIONS`` numbers. The labelled vectors are broadcast (at most ``SAMPLE`` rows, a documented bound, so
 their size is fixed: SAMPLE x DIMENSIONS floats and BUCKETS x DIMENSIONS for the projection); every document
@@ -41,6 +41,10 @@ CACHED_TOKENS = 200_000
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
 
 
+#: Columns of tokens that repeat the one before, and of those in texts where a tenth do.
+REPEATED, MOSTLY_REPEATED = (zlib.crc32(x) % BUCKETS for x in (b"r\0repeated", b"r\0mostly"))
+
+
 def terms(token: str) -> tuple[int, ...]:
     """Columns of one white-space separated token: its word, its shape, its trailing signs."""
     before, word, after = _EDGES.match(token).groups()
@@ -67,10 +71,14 @@ class Bags:
         out = np.zeros((len(texts), BUCKETS), np.float32)
         cache = self.cache
         for row, text in zip(out, texts, strict=True):
-            counts = Counter(text.split())
+            tokens = text.split()
+            counts = Counter(tokens)
+            again = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
             if len(cache) > CACHED_TOKENS:
                 cache.clear()
             at, by = [], []
+            if again:
+                at, by = [REPEATED, MOSTLY_REPEATED][: 1 + (10 * again > len(tokens))], [again] * (1 + (10 * again > len(tokens)))
             for token, n in counts.items():
                 found = cache.get(token)
                 if found is None:

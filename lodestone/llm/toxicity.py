@@ -3,8 +3,8 @@
 Every whole text becomes a short vector: densities and counts of lexicon words, their nearness to second-person
 words, shares of capitals and punctuation, and rates of obfuscated spellings (digits or signs inside a
 word that spell a lexicon word). The lexicon is a fixed list of plain insults and slurs of address, plus
-words learned from the training sample: those seen almost only in toxic documents, in many different
-contexts (a word that always follows the same word comes from copies of one text and is passed over).
+words and beginnings of words learned from the training sample: those seen almost only in toxic texts, counted
+once for texts that are copies of each other.
 
 Trees are fitted on the driver on at most ``SAMPLE`` labelled rows (a documented bound; only vectors and
 labels arrive there), a third of which calibrates the scores. Labels of held-out documents, lang, source
@@ -17,6 +17,7 @@ score is the share of toxic rows (0 without any); repeated rows are scored each.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, UPPER, held_out, let
+from lodestone.llm.common import held_out
 from lodestone.llm.labelled import training_rows
 
-SAMPLE = 8000
+SAMPLE = 12000
 THRESHOLD = 0.5
-LEARNED_WORDS = 150
+LEARNED_WORDS = 600
+#: Lengths of the beginnings of words that can be learned.
+STEMS = (4, 5, 6, 7, 8, 9)
 
 #: Plain insults in the corpus's languages (fixed values).
 INSULTS = """
@@ -58,13 +61,13 @@ FEATURES = (
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .*_-]){3,}[^\W_](?![^\W_])")
 
 
-def text_features(text: str, fixed: frozenset[str], learned: frozenset[str]) -> list[float]:
+def text_features(text: str, fixed: frozenset[str], learned: Learned) -> list[float]:
     """The vector of one whole text."""
     raw = text.split()
     n = max(len(raw), 1)
     words = [w.strip(EDGE) for w in text.lower().split()]
     hits = [i for i, w in enumerate(words) if w in fixed]
-    known = sum(w in learned for w in words) if learned else 0
+    known = sum(w in learned for w in words)
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if hits else []
     near = 0
     if you:
@@ -189,8 +192,8 @@ class Isotonic:
 
 
 class ToxicityModel:
-    def __init__(self, fixed: frozenset[str], learned: frozenset[str]):
-        self.fixed, self.learned, self.trees, self.share = fixed, learned, None, 0.0
+    def __init__(self, fixed: frozenset[str], terms: frozenset[str]):
+        self.fixed, self.learned, self.trees, self.share = fixed, Learned(terms), None, 0.0
 
     def features(self, texts: list[str]) -> np.ndarray:
         return np.asarray([text_features(t, self.fixed, self.learned) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
@@ -209,27 +212,50 @@ class ToxicityModel:
         return np.clip(self.isotonic(self.trees.raw(self.features(texts))), 0, 1)
 
 
-def learned_lexicon(train: DataFrame, most: int = LEARNED_WORDS) -> list[str]:
-    """Words of the training sample that mark toxic documents in many contexts (at most ``most``)."""
-    words = F.split(F.translate(F.col("text"), UPPER, LOWER), r"[\x20\x09-\x0D]+")
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    pairs = let(
-        words,
-        lambda v: F.transform(v, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(v, i - 1), F.lit("")).alias("prev"))),
-    )
-    each = train.select("doc_id", "label", F.explode(pairs).alias("p")).select("doc_id", "label", "p.word", "p.prev").where("length(word) > 1")
-    counts = each.groupBy("word").agg(
-        F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("bad"),
-        F.countDistinct(F.when(F.col("label") == 0, F.col("doc_id"))).alias("good"),
-        F.countDistinct(F.when(F.col("label") == 1, F.col("prev"))).alias("contexts"),
-    )
-    chosen = counts.where("bad >= 6 and bad >= 19 * good and contexts >= 6 and contexts >= 0.3 * bad")
-    return [r[0] for r in chosen.orderBy(F.desc("bad"), "word").limit(most).select("word").collect()]
+def lexicon_terms(word: str) -> set[str]:
+    """A word and its beginnings: invented words come in families that share one."""
+    return {"=" + word} | {word[:k] for k in STEMS if len(word) > k}
+
+
+def learned_lexicon(train: DataFrame, most: int = LEARNED_WORDS) -> frozenset[str]:
+    """Words and beginnings of words that mark toxic documents of the training sample (at most ``most``).
+
+    A term must be in at least six different toxic texts and in a twentieth as many others at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words = {w.strip(EDGE) for w in text.lower().split()}
+                sides[label].update(set().union(*(lexicon_terms(w) for w in words if w)))
+            terms = sorted(sides[0].keys() | sides[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), pa.array([sides[1][t] for t in terms], pa.int64()), pa.array([sides[0][t] for t in terms], pa.int64())],
+                names=["term", "bad", "good"],
+            )
+
+    once = train.dropDuplicates(["text"]).select("text", "label").mapInArrow(count, "term string, bad long, good long")
+    sums = once.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    chosen = sums.where("bad >= 6 and bad >= 20 * good").orderBy(F.desc("bad"), "term").limit(most)
+    return frozenset(r[0] for r in chosen.select("term").collect())
+
+
+class Learned:
+    """Membership of a word in the learned terms, by a quick look at its first letters."""
+
+    def __init__(self, terms: frozenset[str]):
+        self.words = frozenset(t[1:] for t in terms if t[0] == "=")
+        self.stems = frozenset(t for t in terms if t[0] != "=")
+        self.heads = frozenset(t[: STEMS[0]] for t in self.stems)
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words or word[: STEMS[0]] in self.heads and any(len(word) > k and word[:k] in self.stems for k in STEMS)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     train = training_rows(docs, labels, "toxic", sample)
-    model = ToxicityModel(frozenset(INSULTS), frozenset(learned_lexicon(train)))
+    model = ToxicityModel(frozenset(INSULTS), learned_lexicon(train))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
