@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, tuple[str, str | None]] = {
     "op1_ngram_join": ("ngram_join", None),
     "op2_mixing": ("mixing", "OP2_SQL"),
+    "op3_pii": ("pii", None),
+    "op4_fingerprints": ("fingerprint", None),
     "op5_quality": ("quality", None),
     "op6_packing": ("packing", None),
     "op7_exact_dedup": ("exact_dedup", "OP7_SQL"),
     "op8_toxicity": ("toxicity", None),
+    "op9_line_dedup": ("line_dedup", None),
     "op10_url_filters": ("url_filter", "OP10_SQL"),
 }
 
