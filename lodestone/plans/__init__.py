@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational")
 
 
 def load() -> None:
