@@ -19,8 +19,10 @@ into full pieces and a rest; repeated rows are packed each; an empty table gives
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +35,13 @@ from lodestone.llm.common import scratch
 CAPACITY = 4096
 END_ID = 1
 SALTS = 256
-CACHE_CHUNKS = 300_000
+#: Keys of each generation of the two caches of a Python worker.
+CACHED = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
+#: Letters, then ASCII signs other than apostrophes.
+_WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,41 +51,74 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkCache(dict):
-    """White-space free chunk -> its ids as little-endian unsigned 32-bit bytes."""
+class Remembered(dict):
+    """A function's values for the keys seen lately: at most two generations of ``most`` keys."""
 
-    def __init__(self, path: str, most: int = CACHE_CHUNKS):
+    def __init__(self, compute: Callable[[str], bytes], most: int):
         super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Ids:
+    """Texts -> their ids as little-endian unsigned 32-bit bytes.
+
+    White-space separated chunks are looked up first, then their parts: a chunk of letters followed by signs
+    is a lower-cased word and a run of signs, which the tokenizer treats apart. Any other chunk (digits,
+    apostrophes, marks, letters whose lower case depends on their place) goes to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts = Remembered(self.whole, CACHED)
+        self.chunks = Remembered(self.chunk, CACHED)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = self.whole(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
+    def chunk(self, chunk: str) -> bytes:
+        m = _WORD_AND_SIGNS.fullmatch(chunk)
+        if m and m[1].isalpha() and m[1].lower().isalpha() and "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk):
+            return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+        return self.whole(chunk)
 
-    def ids(self, text: str) -> bytes:
+    def __call__(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+def _ids(path: str) -> Ids:
+    """One per Python worker, so that what one task learned serves the next."""
+    import builtins
+
+    held = builtins.__dict__.setdefault("_lodestone_ids", {})
+    if path not in held:
+        held[path] = Ids(path)
+    return held[path]
 
 
 def _cutter(path: str, capacity: int, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkCache(path)
+        ids_of = _ids(path)
         for batch in batches:
             doc_ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = cache.ids(text.as_py() or "") + end
+                ids = ids_of(text.as_py() or "") + end
                 doc_id = doc_id.as_py()
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
