@@ -179,9 +179,8 @@ def ip(s: Column) -> Column:
 
     def new(o: Column) -> Column:
         whole = F.aggregate(o, F.lit(0).cast("long"), lambda t, x: t * 256 + x)
-        moved = permute_number(whole, (65536, 65536), "ip")
-        part = lambda k: F.pmod(F.shiftright(let(moved, lambda m: m), 8 * k), F.lit(256)).cast("string")
-        return F.when(F.forall(o, lambda x: x <= 255), F.concat_ws(".", part(3), part(2), part(1), part(0)))
+        parts = lambda m: F.concat_ws(".", *[F.pmod(F.shiftright(m, 8 * k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
+        return F.when(F.forall(o, lambda x: x <= 255), let(permute_number(whole, (65536, 65536), "ip"), parts))
 
     return let(octets, new)
 
@@ -232,12 +231,14 @@ REPLACERS: dict[str, Callable[[Column], Column]] = {
 
 def replaced(match: Column) -> Column:
     """(kind, value) for a match; kind null and the match itself where no kind validates."""
-    found = F.lit(None).cast("struct<kind:string,value:string>")
-    for kind, pattern in reversed(list(PATTERNS.items())):
-        value = REPLACERS[kind](match)
-        here = match.rlike(f"^(?:{pattern})$")
-        found = F.when(here, F.coalesce(F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value"))), found)).otherwise(found)
-    return F.coalesce(found, F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value")))
+    def tried(kind: str, pattern: str) -> Column:
+        return F.when(
+            match.rlike(f"^(?:{pattern})$"),
+            let(REPLACERS[kind](match), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))),
+        )
+
+    kept = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value"))
+    return F.coalesce(*[tried(k, p) for k, p in PATTERNS.items()], kept)
 
 
 def pseudonymize(docs: DataFrame, text_col: str = "text") -> DataFrame:
