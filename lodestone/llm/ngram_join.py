@@ -45,6 +45,8 @@ EMITTED = 0.36
 #: A posting list over this many sets is cut into chunks of half that size.
 BLOCK = 2000
 FAN_OUT = 8
+#: Sets up to this size have wide bitmaps, whose bound on the overlap is close.
+WIDE_UP_TO = 1024
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +74,9 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """Bits of the shingles' hashes, two to four per shingle, a power of two of them (64 at least)."""
-    width = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """Bits of the shingles' hashes, a power of two of them: 16 to 32 per shingle, 2 to 4 in large sets."""
+    per = 16 if len(shingles) <= WIDE_UP_TO else 2
+    width = max(64, 1 << (per * len(shingles) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(shingles.view(np.uint64) >> np.uint64(8)) & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -176,29 +179,34 @@ def traverse(x: Node, y: Node) -> Iterator[tuple[int, int]]:
 def block_pairs(rows: list[tuple], across: bool) -> Iterator[tuple[int, int]]:
     """Candidate pairs of one block. ``rows``: (sid, component, n, position, bitmap bytes, side).
 
-    Bitmaps have two to four bits per shingle; sets whose bitmaps differ in width meet at the narrower
-    width, onto which the wider one folds. Linked sets' widths differ by a factor of two at most.
+    Sets whose bitmaps differ in width meet at the narrower width, onto which the wider one folds.
     ``across``: only pairs of different sides count.
     """
-    by_width: dict[int, list[tuple]] = {}
+    held: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
     for sid, component, n, position, bits, side in rows:
-        value = int.from_bytes(bits, "little")
-        by_width.setdefault(8 * len(bits), []).append(((sid, component, n, position, value, value.bit_count()), side))
-    for width, own in by_width.items():
-        folded = []
-        for (sid, component, n, position, value, _), side in by_width.get(2 * width, ()):
-            value = (value | value >> width) & ((1 << width) - 1)
-            folded.append(((sid, component, n, position, value, value.bit_count()), side))
-        sides = [([m for m, s in own if s == k], [m for m, s in folded if s == k]) for k in (0, 1)]
-        wanted = (
-            [(sides[0][0], sides[1][0]), (sides[0][0], sides[1][1]), (sides[0][1], sides[1][0])]
-            if across
-            else [(sides[0][0], None), (sides[0][0], sides[0][1])]
-        )
-        for left, right in wanted:
-            if left and (right or right is None):
-                tree = signature_tree(left)
-                yield from traverse(tree, tree if right is None else signature_tree(right))
+        held.setdefault(8 * len(bits), []).append((sid, component, n, position, int.from_bytes(bits, "little"), side))
+    widths = sorted(held)
+    for k, width in enumerate(widths):
+        own = [[], []]
+        for sid, component, n, position, value, side in held[width]:
+            own[side].append((sid, component, n, position, value, value.bit_count()))
+        least, most = (f(r[2] for r in held[width]) for f in (min, max))
+        for wider in widths[k + 1 :]:
+            other = [[], []]
+            for sid, component, n, position, value, side in held[wider]:
+                if 100 * n < PERCENT * least or 100 * most < PERCENT * n:
+                    continue
+                for step in range(wider.bit_length() - 2, width.bit_length() - 2, -1):
+                    value = (value | value >> (1 << step)) & ((1 << (1 << step)) - 1)
+                other[side].append((sid, component, n, position, value, value.bit_count()))
+            for x, y in ((0, 1), (1, 0)) if across else ((0, 0),):
+                if own[x] and other[y]:
+                    yield from traverse(signature_tree(own[x]), signature_tree(other[y]))
+        if across and own[0] and own[1]:
+            yield from traverse(signature_tree(own[0]), signature_tree(own[1]))
+        elif not across and own[0]:
+            tree = signature_tree(own[0])
+            yield from traverse(tree, tree)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
