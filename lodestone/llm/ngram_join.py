@@ -20,8 +20,8 @@ loses no link, and its cost follows the near duplicates rather than the corpus:
    list has to fit in one task.
 
 Defined results: null, empty and white-space texts have no shingles, n_shingles 0, and link with nothing;
-texts under five words are one shingle; repeated rows appear each; rows without doc_id get the smallest
-doc_id of their component, null if it has none.
+texts under five words are one shingle; repeated rows appear each; a row without doc_id gets the component of
+the rows with equal shingles that have one, and null (linked with nothing) where there are none.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, scratch
+from lodestone.llm.common import forget, release, scratch
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import _Powers, set_digest, shingle_sets
 
@@ -322,6 +322,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets.join(only, "sid", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") / 4)).where("rep is not null").select("rep", "sid"),
         "candidate-sets",
     )
+    del sets, only
+    release(docs.sparkSession)
     arrays = scratch(
         docs.join(left, docs["doc_id"] == left["rep"]).select("sid", "text")
         .mapInArrow(_arrays, "sid long, n long, shingles array<long>, bits binary")
@@ -330,6 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     forget(left)
     postings = scratch(_prefixes(arrays), "postings")
+    release(docs.sparkSession)
     links = components = None
     for first in (True, False):
         active = _in_components(postings, components)
@@ -365,8 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, with their columns.
 
-    Of rows that repeat that doc_id one stays; rows without doc_id stay only where no other row of their
-    component has one.
+    Rows that repeat that doc_id all stay; rows without doc_id stay where no row with equal shingles has one.
     """
     kept = near_duplicates(docs).select("doc_id", "component_id", "set_id", "n_shingles")
     kept = kept.where("doc_id <=> component_id").select("doc_id").distinct()
