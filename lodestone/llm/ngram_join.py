@@ -5,8 +5,9 @@ loses no link, and its cost follows the near duplicates rather than the corpus:
 
 1. *Sets.* Documents of equal sets (copies) become one set.
 2. *Prune.* A partner of A holds all but floor(n / 4) of A's shingles. Every set emits its smallest hashes, a
-   little more than that many; a set of which more than floor(n / 4) emitted hashes occur in no other
-   set has no partner. Most of a corpus ends here.
+   little more than that many, and enough that a partner emits all but floor(n / 4) of what A emits; a set of
+   which more than floor(n / 4) emitted hashes are emitted by no other set has no partner. Most of a corpus
+   ends here.
 3. *Prefixes.* The shingles of what is left are ordered by how many sets hold them, rarest first. Linked sets
    share one of their first floor(n / 4) + 1 shingles in that order, so the postings of those shingles hold
    every link. Passages that many documents share come last in the order and stay out.
@@ -42,6 +43,8 @@ from lodestone.llm.shingles import _Powers, set_digest, shingle_sets
 PERCENT = 75
 #: Share of a set's hashes that it emits for pruning; any share over a quarter is right.
 EMITTED = 0.36
+#: Sizes that emit one hash more: without it the set of a link could find a shared shingle emitted by itself only.
+ONE_MORE = (4, 5, 8)
 #: A posting list over this many sets is cut into chunks of half that size.
 BLOCK = 2000
 FAN_OUT = 8
@@ -60,13 +63,23 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def emitted_size(n: int) -> int:
+    """How many of its smallest hashes a set of ``n`` shingles emits.
+
+    Of sets A and B that link, B not emitting a of A's emitted hashes needs a <= floor(|A| / 4): a is at most
+    max(|A - B|, emitted_size(|A|) + |B - A| - emitted_size(|B|)). A test runs through the sizes where rounding
+    matters; above them 0.36 |A - B| + 0.64 |B - A| + 1 stays under the limit.
+    """
+    return int(EMITTED * n) + 1 + (n in ONE_MORE)
+
+
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
         sets = shingle_sets(batch.column("text"), powers)
         ids = set_digest(sets)[0]
         once = np.unique(ids, return_index=True)[1]
-        heads = [sets[i][: int(EMITTED * len(sets[i])) + 1] for i in once]
+        heads = [sets[i][: emitted_size(len(sets[i]))] for i in once]
         sizes = [len(h) for h in heads]
         keys, owners = np.concatenate(heads or [np.zeros(0, np.int64)]), np.repeat(ids[once], sizes)
         for at in range(0, len(keys), 100_000):

@@ -71,6 +71,28 @@ def test_components_equal_brute_force(spark):
     assert found == brute_components(rows)
 
 
+def test_short_texts_with_words_added(spark):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"v{rnd.randrange(10**6)}" for _ in range(12)]
+        short, more = ((7, 8), (10, 12))[k % 2]
+        rows += [(2 * k, " ".join(words[:short])), (2 * k + 1, " ".join(words[:more]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+    assert all(found[2 * k + 1][1] == 2 * k for k in range(60))
+
+
+def test_linked_sets_emit_enough_of_each_other():
+    for n in range(1, 300):
+        for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
+            common = -(-75 * (n + m) // 175)  # the least overlap of a link, with which most is lost
+            if common <= min(n, m):
+                lost = max(n - common, ngram_join.emitted_size(n) + m - common - ngram_join.emitted_size(m))
+                assert lost <= n // 4, (n, m, common)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(docs).count() == 0
