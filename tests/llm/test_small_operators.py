@@ -283,6 +283,44 @@ def test_line_recall(spark):
     assert len(found) >= 0.9 * len(pairs) and all(2 * k in kept for k in range(150))
 
 
+def line_grams(x):
+    return {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+
+
+def line_links(texts):
+    grams = [line_grams(x) for x in texts]
+    return {(i, j) for j in range(len(texts)) for i in range(j) if 4 * len(grams[i] & grams[j]) >= 3 * len(grams[i] | grams[j])}
+
+
+def test_lines_of_one_template(spark):
+    rnd = random.Random(6)
+    opening = "this notice is sent to every reader of the weekly bulletin who has asked for it about "
+    texts = []
+    for _ in range(120):
+        rest = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(60))
+        at = rnd.randrange(10, 50)
+        texts += [opening + rest, opening + rest[:at] + "##" + rest[at + 2 :]]
+    links = line_links(texts)
+    assert links == {(2 * k, 2 * k + 1) for k in range(120)}
+    found = {r["doc_id"]: r["component"] for r in line_dedup.line_verdicts(docs_frame(spark, [(i, x, "s") for i, x in enumerate(texts)])).collect()}
+    assert sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+    assert len(set(found.values())) >= 120
+
+
+def test_lines_without_spaces(spark):
+    rnd = random.Random(7)
+    texts = []
+    for k in range(120):
+        path = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789/") for _ in range(80))
+        # one family differs after a shared opening, the other in its first characters
+        texts += [f"https://{path}", f"https://{path[:40]}#{path[41:]}"] if k % 2 else [f"a{path}", f"b{path}"]
+    links = line_links(texts)
+    assert links == {(2 * k, 2 * k + 1) for k in range(120)}
+    found = {r["doc_id"]: r["component"] for r in line_dedup.line_verdicts(docs_frame(spark, [(i, x, "s") for i, x in enumerate(texts)])).collect()}
+    assert sum(found[a] == found[b] for a, b in links) >= 0.98 * len(links)
+    assert len(set(found.values())) >= 120
+
+
 # -- components, models ----------------------------------------------------------
 
 
