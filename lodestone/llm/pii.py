@@ -31,7 +31,7 @@ ROUNDS = 8
 #: kind -> pattern, in the order they are tried at a position
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,128}\"|'[^'\s]{6,128}'|[^\s\"']{6,128}))",
+    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api_key|apikey)(?:\h*+|\s{0,3})[=:](?:\h*+|\s{0,3})(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{6,}+))",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
@@ -61,9 +61,8 @@ def _add(half: Column, seed: Column) -> Column:
     """``half`` with a keyed amount added to every character, within its class."""
     stream = F.concat(*[F.sha2(F.concat_ws("\x1f", seed, F.lit(str(k))), 256) for k in range(4)])
 
-    def shifted(stream: Column, i: Column) -> Column:
-        c = _at(half, i)
-        amount = F.conv(F.substring(stream, F.pmod((i - 1) * 3, F.lit(252)) + 1, F.lit(3)), 16, 10).cast("int")
+    def shifted(stream: Column, c: Column, i: Column) -> Column:
+        amount = F.conv(F.substring(stream, F.pmod(i * 3, F.lit(252)) + 1, F.lit(3)), 16, 10).cast("int")
 
         def within(first: str, size: int) -> Column:
             base = F.lit(ord(first))
@@ -78,7 +77,7 @@ def _add(half: Column, seed: Column) -> Column:
 
     size = F.length(half)
     return F.when(size == 0, half).otherwise(
-        let(stream, lambda s: F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: shifted(s, i)), ""))
+        let(stream, lambda s: F.array_join(F.transform(F.split(half, "", -1), lambda c, i: shifted(s, c, i)), ""))
     )
 
 
@@ -213,7 +212,7 @@ def phone(s: Column) -> Column:
 
 
 def secret(s: Column) -> Column:
-    head = F.regexp_extract(s, r"^(AKIA|\w+\s*[=:]\s*[\"']?)", 1)
+    head = F.regexp_extract(s, r"^(AKIA|\w+[\s\h]*[=:][\s\h]*[\"']?)", 1)
     return F.concat(head, permute_string(F.substring(s, F.length(head) + 1, F.length(s)), "secret"))
 
 

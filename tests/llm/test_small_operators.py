@@ -238,6 +238,21 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_long_and_spaced_secrets(spark):
+    rnd = random.Random(3)
+    long = ["".join(rnd.choice("abcdefghijkXYZ0123456789") for _ in range(n)) for n in (150, 500, 500, 100_000)]
+    rows = [(1, f'token = "{long[0]}" end', "s"), (2, f"secret: '{long[1]}' end", "s"), (3, f"api_key={long[2]} end", "s"), (4, f"token={long[3]} end", "s"),
+            (5, 'password      = "hunter22" end', "s"), (6, "password:\t\t\t\u00a0  hunter22 end", "s"), (7, "password:\n  hunter22 end", "s"),
+            (8, "password:\n\n\n\nhunter22 end", "s")]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs_frame(spark, rows)).collect()}
+    for i, secret in enumerate([*long, "hunter22", "hunter22", "hunter22"], 1):
+        before, value, after = rows[i - 1][1].partition(secret)
+        new = out[i][len(before) : len(before) + len(secret)]
+        assert out[i].startswith(before) and out[i].endswith(after) and len(out[i]) == len(rows[i - 1][1])
+        assert all(secret[k : k + 12] not in out[i] for k in range(0, max(1, len(secret) - 12), 6)) and new != secret
+    assert out[8] == rows[7][1]
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
