@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -62,13 +61,22 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+#: Bits of the table of probable keys: 4 MB, however many keys there are.
+TABLE_BITS = 1 << 25
 
-    It does so only after a garbage collection on the driver, which may otherwise be half an hour away.
+
+def probable_rows(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a long) is not in ``keys``: it spares a join their shuffle.
+
+    The keys' places in a bit table of fixed size are broadcast (at most TABLE_BITS / 64 rows of 16 bytes, a proven
+    bound); rows at other places go. As the table fills up with many keys it only spares less.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    word, mask = unused("table_word", rows), unused("table_mask", rows)
+    place = F.pmod(F.xxhash64(key), F.lit(TABLE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    table = keys.select(F.floor(place / 64).alias(word), bit.alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    near = rows.withColumn(word, F.floor(place / 64)).join(F.broadcast(table), word).where(F.col(mask).bitwiseAND(bit) != 0)
+    return near.select(*[rows[c] for c in rows.columns])
 
 
 def text_or_empty(text: Column | str) -> Column:

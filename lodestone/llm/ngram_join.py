@@ -8,49 +8,56 @@ loses no link, and its cost follows the near duplicates rather than the corpus:
    little more than that many, and enough that a partner emits all but floor(n / 4) of what A emits; a set of
    which more than floor(n / 4) emitted hashes are emitted by no other set has no partner. Most of a corpus
    ends here.
-3. *Prefixes.* The shingles of what is left are ordered by how many sets hold them, rarest first. Linked sets
-   share one of their first floor(n / 4) + 1 shingles in that order, so the postings of those shingles hold
+3. *Tokens.* Shingles that exactly the same remaining sets hold are one token, weighted by how many they are:
+   a passage of 50 words that documents share is one token, not 46. Shingles of one set only are counted.
+   Overlaps of sets are sums of the weights of common tokens, as exact as on the shingles.
+4. *Prefixes.* Tokens are ordered by how many sets hold them, rarest first. Linked sets share one of the tokens
+   that begin within their first floor(n / 4) + 1 shingles in that order, so the postings of those tokens hold
    every link. Passages that many documents share come last in the order and stay out.
-4. *Hubs.* In each posting list every set is compared with one hub (two rounds, two hubs). A group of
+5. *Hubs.* In each posting list every set is compared with one hub (two rounds, two hubs). A group of
    thousands of near copies becomes one component at a cost linear in its size.
-5. *Signature trees.* Posting lists that still hold several components are blocks. A block's sets are leaves
-   of a tree whose nodes hold the OR of their bitmaps, the range of their sizes and their least bit count;
-   pairs of nodes are traversed together and dropped when the overlap they could reach at most is too
-   small, or when both lie in one component. What survives is verified on the shingles themselves.
-   Lists over ``BLOCK`` sets are cut into chunks and every pair of chunks is a block of its own, so no
-   list has to fit in one task.
+6. *Signature trees.* Posting lists that still hold several components make blocks: those with the same least set
+   are one block, so that a set's tokens travel once and not for each list. A block's sets are leaves
+   of a tree whose nodes hold the OR of their token bitmaps and the range of their sizes; pairs of nodes are
+   traversed together and dropped when the overlap they could reach at most is too small, or when both lie in
+   one component. In a block every token has a bit of its own, so at the leaves the bound is the overlap itself;
+   a block returns only links that join two of its components. Blocks over ``BLOCK`` sets or ``BLOCK_TOKENS``
+   tokens are cut into chunks and every pair of chunks is a block of its own, so no block has to fit in one task.
+
+Texts are read three times and only those of sets that outlive the prune are shuffled (a bit table of fixed size
+is joined to the scan first; where it fills up, more texts are shuffled and the result is the same).
 
 Defined results: null, empty and white-space texts have no shingles, n_shingles 0, and link with nothing;
-texts under five words are one shingle; repeated rows appear each; a row without doc_id gets the component of
-the rows with equal shingles that have one, and null (linked with nothing) where there are none.
+texts under five words are one shingle; a text of any length is one set, hashed in pieces of bounded size;
+repeated rows appear each; a row without doc_id gets the component of the rows with equal shingles that have one,
+and null (linked with nothing) where there are none; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, release, scratch
+from lodestone.llm.common import forget, probable_rows, scratch, unused
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import _Powers, set_digest, shingle_sets
 
 #: Links need 100 * overlap >= 75 * union, so overlap >= 3/4 of either set and 3/7 of the sizes' sum.
 PERCENT = 75
-#: Share of a set's hashes that it emits for pruning; any share over a quarter is right.
+#: Share of a set's hashes that it emits for pruning.
 EMITTED = 0.36
 #: Sizes that emit one hash more: without it the set of a link could find a shared shingle emitted by itself only.
 ONE_MORE = (4, 5, 8)
-#: A posting list over this many sets is cut into chunks of half that size.
+#: A block over this many sets, or tokens in them, is cut into chunks of half that size.
 BLOCK = 2000
+BLOCK_TOKENS = 250_000
 FAN_OUT = 8
-#: Sets up to this size have wide bitmaps, whose bound on the overlap is close.
-WIDE_UP_TO = 1024
-
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
@@ -58,8 +65,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(batch.column("text"), powers)
         d1, d2 = set_digest(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2)],
-            names=["doc_id", "n", "sid", "sid2"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2)],
+            names=["doc_id", "text_hash", "n", "sid", "sid2"],
         )
 
 
@@ -86,15 +93,6 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(owners[at : at + 100_000])], names=["key", "sid"])
 
 
-def _bitmap(shingles: np.ndarray) -> bytes:
-    """Bits of the shingles' hashes, a power of two of them: 16 to 32 per shingle, 2 to 4 in large sets."""
-    per = 16 if len(shingles) <= WIDE_UP_TO else 2
-    width = max(64, 1 << (per * len(shingles) - 1).bit_length())
-    bits = np.zeros(width, bool)
-    bits[(shingles.view(np.uint64) >> np.uint64(8)) & np.uint64(width - 1)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
@@ -107,123 +105,176 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([part.column("sid")[i].as_py() for i in right], pa.int64()),
                     pa.array([len(sets[i]) for i in right], pa.int64()),
                     pa.array([sets[i] for i in right], pa.list_(pa.int64())),
-                    pa.array([_bitmap(sets[i]) for i in right], pa.binary()),
                 ],
-                names=["sid", "n", "shingles", "bits"],
+                names=["sid", "n", "shingles"],
             )
 
 
+def tokens(arrays: DataFrame) -> DataFrame:
+    """(sid, n, alone, token, weight) of ``arrays`` (sid, n, shingles): the shared shingles as weighted tokens.
+
+    ``token`` and ``weight`` are arrays, rarest token first; ``alone`` counts the shingles of this set only. A token
+    is named by a digest of the sets that hold it. Sets with too many lone shingles to have a partner are left out.
+    """
+    each = arrays.select("sid", F.explode("shingles").alias("key"))
+    lists = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("sid")).alias("token")).where("df > 1")
+    held = each.join(lists, "key").groupBy("sid", "token").agg(F.min("df").alias("df"), F.count(F.lit(1)).alias("weight"))
+    held = held.groupBy("sid").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token", "weight"))).alias("held"), F.sum("weight").alias("shared")
+    )
+    return (
+        held.join(arrays.select("sid", "n"), "sid")
+        .select(
+            "sid", "n", (F.col("n") - F.col("shared")).alias("alone"), F.col("held.token").alias("token"),
+            F.col("held.weight").cast("array<int>").alias("weight"),
+        )
+        .where(F.col("alone") <= F.floor(F.col("n") / 4))
+    )
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sid, n, alone = (batch.column(c).to_numpy() for c in ("sid", "n", "alone"))
+        token, weight = (batch.column(c).flatten().to_numpy() for c in ("token", "weight"))
+        ends = batch.column("token").offsets.to_numpy() - batch.column("token").offsets[0].as_py()
+        owner = np.repeat(np.arange(len(sid)), np.diff(ends))
+        before = np.cumsum(weight, dtype=np.int64) - weight
+        start = alone[owner] + before - before[ends[:-1]][owner] if len(owner) else before
+        early = start <= n[owner] // 4
+        owner, token = owner[early], token[early]
+        for at in range(0, max(len(token), 1), 100_000):
+            part = owner[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 100_000]), pa.array(sid[part]), pa.array(n[part])], names=["key", "sid", "n"])
+
+
+def prefixes(members: DataFrame) -> DataFrame:
+    """(key, sid, n): the tokens that begin within each set's first floor(n / 4) + 1 shingles, lone ones first."""
+    return members.select("sid", "n", "alone", "token", "weight").mapInArrow(_prefixes, "key long, sid long, n long")
+
+
+class Weights:
+    """Sums of token weights over bitmaps: one plane of bits for each binary digit of the weights."""
+
+    def __init__(self, of_bit: list[int]):
+        self.planes = []
+        for digit in range(max(of_bit, default=0).bit_length()):
+            plane = np.asarray([w >> digit & 1 for w in of_bit], np.uint8)
+            self.planes.append(int.from_bytes(np.packbits(plane, bitorder="little").tobytes(), "little"))
+
+    def __call__(self, bits: int) -> int:
+        return sum((bits & plane).bit_count() << digit for digit, plane in enumerate(self.planes))
+
+
+class Member(NamedTuple):
+    """A set in a block: its size and its tokens as bits."""
+
+    sid: int
+    component: int
+    n: int
+    bits: int
+    side: int
+
+
 class Node:
-    """A signature-tree node: OR of bitmaps, size range, least bit count, the component if it has but one."""
-
-    __slots__ = ("children", "component", "least_bits", "most", "or_bits", "least", "members")
-
-    def __init__(self, members: list[tuple], children: list[Node]):
-        # a member: (sid, component, n, position of the block's shingle, bitmap as int, its bit count)
-        self.members, self.children = members, children
-        parts = children or members
-        if children:
-            self.or_bits = 0
-            for c in children:
-                self.or_bits |= c.or_bits
-            self.least, self.most = min(c.least for c in parts), max(c.most for c in parts)
-            self.least_bits = min(c.least_bits for c in parts)
-            owners = {c.component for c in parts}
-        else:
-            self.or_bits = 0
-            for m in members:
-                self.or_bits |= m[4]
-            self.least, self.most = min(m[2] for m in members), max(m[2] for m in members)
-            self.least_bits = min(m[5] for m in members)
-            owners = {m[1] for m in members}
+    """A signature-tree node: OR of the token bitmaps, size range, the component if it has but one."""
+
+    __slots__ = ("bits", "children", "component", "least", "members", "most")
+
+    def __init__(self, members: list[Member], children: list[Node]):
+        self.members, self.children, self.bits = members, children, 0
+        for part in children or members:
+            self.bits |= part.bits
+        self.least = min(p.least for p in children) if children else min(m.n for m in members)
+        self.most = max(p.most for p in children) if children else max(m.n for m in members)
+        owners = {p.component for p in children or members}
         self.component = owners.pop() if len(owners) == 1 else None
 
 
-def signature_tree(members: list[tuple]) -> Node:
+def signature_tree(members: list[Member]) -> Node:
     """A tree over ``members``, near ones together: by component, then size, then bitmap."""
-    members = sorted(members, key=lambda m: (m[1], m[2], m[4]))
+    members = sorted(members, key=lambda m: (m.component, m.n, m.bits))
     level = [Node(members[i : i + FAN_OUT], []) for i in range(0, len(members), FAN_OUT)]
     while len(level) > 1:
         level = [Node([], level[i : i + FAN_OUT]) for i in range(0, len(level), FAN_OUT)]
     return level[0]
 
 
-def _may_link(n1: int, n2: int, overlap: int) -> bool:
+def _links(n1: int, n2: int, overlap: int) -> bool:
     return (100 + PERCENT) * overlap >= PERCENT * (n1 + n2)
 
 
-def member_pair(a: tuple, b: tuple) -> bool:
-    """Whether two sets of different components could link, by their bitmaps and prefix positions."""
-    if a[1] == b[1]:
-        return False
-    common = (a[4] & b[4]).bit_count()
-    most = min(a[2] - a[5] + common, b[2] - b[5] + common, a[2] - a[3], b[2] - b[3])
-    return _may_link(a[2], b[2], most)
-
-
-def node_pair(x: Node, y: Node) -> bool:
-    """Whether any two members could link: at most min(sizes), less the bits that cannot be common."""
-    if x.component is not None and x.component == y.component:
-        return False
-    common = (x.or_bits & y.or_bits).bit_count()
-    most = min(x.most - max(0, x.least_bits - common), y.most - max(0, y.least_bits - common))
-    return _may_link(x.least, y.least, most) and 100 * x.most >= PERCENT * y.least and 100 * y.most >= PERCENT * x.least
-
-
-def traverse(x: Node, y: Node) -> Iterator[tuple[int, int]]:
-    """Pairs of members of ``x`` and ``y`` (of ``x`` with itself where they are one) that could link."""
-    stack = [(x, y)]
-    while stack:
-        x, y = stack.pop()
-        if not node_pair(x, y):
-            continue
-        if x.children or y.children:
-            if x is y:
-                stack += [(c, c) for c in x.children]
-                stack += combinations(x.children, 2)
+class Block:
+    """The sets of one block, or of two chunks of one. Links come one for each two components joined."""
+
+    def __init__(self, rows: list[tuple]):
+        """``rows``: (sid, component, n, tokens, weights, side)."""
+        bit: dict[int, int] = {}
+        of_bit: list[int] = []
+        self.members: list[Member] = []
+        for sid, component, n, token, weight, side in rows:
+            for t, w in zip(token, weight, strict=True):
+                if t not in bit:
+                    bit[t] = len(of_bit)
+                    of_bit.append(w)
+            bits = np.zeros(len(of_bit), np.uint8)
+            bits[[bit[t] for t in token]] = 1
+            self.members.append(Member(sid, component, n, int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), side))
+        self.weight = Weights(of_bit)
+        self.parent: dict[int, int] = {}
+
+    def find(self, component: int) -> int:
+        while component in self.parent:
+            component = self.parent[component]
+        return component
+
+    def may_link(self, x: Node, y: Node) -> bool:
+        """Whether any two members could link: the overlap is at most either size and the weight of common bits."""
+        if x.component is not None and y.component is not None and self.find(x.component) == self.find(y.component):
+            return False
+        if 100 * x.most < PERCENT * y.least or 100 * y.most < PERCENT * x.least:
+            return False
+        return _links(x.least, y.least, min(x.most, y.most, self.weight(x.bits & y.bits)))
+
+    def joins(self, a: Member, b: Member) -> bool:
+        """Whether a and b link and lie in different components, which they do no more hereafter."""
+        if 100 * min(a.n, b.n) < PERCENT * max(a.n, b.n):
+            return False
+        one, other = self.find(a.component), self.find(b.component)
+        if one == other or not _links(a.n, b.n, self.weight(a.bits & b.bits)):
+            return False
+        self.parent[max(one, other)] = min(one, other)
+        return True
+
+    def traverse(self, x: Node, y: Node) -> Iterator[tuple[int, int]]:
+        """Links between members of ``x`` and ``y`` (of ``x`` with itself where they are one)."""
+        stack = [(x, y)]
+        while stack:
+            x, y = stack.pop()
+            if not self.may_link(x, y):
+                continue
+            if x.children or y.children:
+                if x is y:
+                    stack += combinations(x.children, 2)
+                    stack += [(c, c) for c in x.children]
+                else:
+                    stack += [(c, d) for c in x.children or [x] for d in y.children or [y]]
             else:
-                stack += [(c, d) for c in x.children or [x] for d in y.children or [y]]
-        elif x is y:
-            yield from ((a[0], b[0]) for a, b in combinations(x.members, 2) if member_pair(a, b))
-        else:
-            yield from ((a[0], b[0]) for a in x.members for b in y.members if member_pair(a, b))
-
+                pairs = combinations(x.members, 2) if x is y else ((a, b) for a in x.members for b in y.members)
+                yield from ((a.sid, b.sid) for a, b in pairs if self.joins(a, b))
 
-def block_pairs(rows: list[tuple], across: bool) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of one block. ``rows``: (sid, component, n, position, bitmap bytes, side).
-
-    Sets whose bitmaps differ in width meet at the narrower width, onto which the wider one folds.
-    ``across``: only pairs of different sides count.
-    """
-    held: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
-    for sid, component, n, position, bits, side in rows:
-        held.setdefault(8 * len(bits), []).append((sid, component, n, position, int.from_bytes(bits, "little"), side))
-    widths = sorted(held)
-    for k, width in enumerate(widths):
-        own = [[], []]
-        for sid, component, n, position, value, side in held[width]:
-            own[side].append((sid, component, n, position, value, value.bit_count()))
-        least, most = (f(r[2] for r in held[width]) for f in (min, max))
-        for wider in widths[k + 1 :]:
-            other = [[], []]
-            for sid, component, n, position, value, side in held[wider]:
-                if 100 * n < PERCENT * least or 100 * most < PERCENT * n:
-                    continue
-                for step in range(wider.bit_length() - 2, width.bit_length() - 2, -1):
-                    value = (value | value >> (1 << step)) & ((1 << (1 << step)) - 1)
-                other[side].append((sid, component, n, position, value, value.bit_count()))
-            for x, y in ((0, 1), (1, 0)) if across else ((0, 0),):
-                if own[x] and other[y]:
-                    yield from traverse(signature_tree(own[x]), signature_tree(other[y]))
-        if across and own[0] and own[1]:
-            yield from traverse(signature_tree(own[0]), signature_tree(own[1]))
-        elif not across and own[0]:
-            tree = signature_tree(own[0])
-            yield from traverse(tree, tree)
+    def links(self, across: bool) -> Iterator[tuple[int, int]]:
+        """``across``: only sets of different sides are compared."""
+        if not across:
+            tree = signature_tree(self.members)
+            yield from self.traverse(tree, tree)
+            return
+        sides = [[m for m in self.members if m.side == k] for k in (0, 1)]
+        if all(sides):
+            yield from self.traverse(signature_tree(sides[0]), signature_tree(sides[1]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block -> candidate pairs; one block (at most ``BLOCK`` rows or so) is held at a time."""
+    """Rows sorted by block -> links; one block (at most ``BLOCK`` rows or so) is held at a time."""
     held, block = [], None
     found: set[tuple[int, int]] = set()
 
@@ -234,14 +285,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if len(held) > 1:
-            found.update((min(p), max(p)) for p in block_pairs(held, block[1] != block[2]))
+            found.update((min(p), max(p)) for p in Block(held).links(block[1] != block[2]))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "sid", "component", "n", "position", "bits", "side")]
-        for key, i, j, *row in zip(*columns, strict=True):
-            if (key, i, j) != block:
+        columns = [batch.column(c).to_pylist() for c in ("block", "i", "j", "sid", "component", "n", "token", "weight", "side")]
+        for name, i, j, *row in zip(*columns, strict=True):
+            if (name, i, j) != block:
                 close()
-                held, block = [], (key, i, j)
+                held, block = [], (name, i, j)
                 if len(found) > 50_000:
                     yield out()
             held.append(tuple(row))
@@ -249,47 +300,42 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, by their shingles."""
-    a = arrays.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    b = arrays.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    overlap = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(a, "a").join(b, "b")
-        .where(100 * overlap >= PERCENT * (F.size("sa") + F.size("sb") - overlap))
-        .select("a", "b")
-    )
+def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, ta, wa, tb) -> the (a, b) that link, by the weights of their common tokens."""
+    for batch in batches:
+        a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+        lists = [batch.column(c) for c in ("ta", "wa", "tb")]
+        (ta, wa, tb), (oa, _, ob) = [x.flatten().to_numpy() for x in lists], [x.offsets.to_numpy() - x.offsets[0].as_py() for x in lists]
+        right = []
+        for k in range(batch.num_rows):
+            common = np.isin(ta[oa[k] : oa[k + 1]], tb[ob[k] : ob[k + 1]], assume_unique=True)
+            if _links(int(na[k]), int(nb[k]), int(wa[oa[k] : oa[k + 1]][common].sum())):
+                right.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a[right]), pa.array(b[right])], names=["a", "b"])
 
 
-def _prefixes(arrays: DataFrame) -> DataFrame:
-    """(key, sid, n, position): the shared shingles among each set's first floor(n / 4) + 1, rarest first."""
-    each = arrays.select("sid", "n", F.explode("shingles").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = each.join(shared, "key").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")  # shingles of this set only come before all others
-    room = F.greatest(F.floor(F.col("n") / 4) + 1 - alone, F.lit(0)).cast("int")
-    return lists.select("sid", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), room))).select(
-        F.col("col.key").alias("key"), "sid", "n", (F.col("alone") + F.col("pos")).cast("long").alias("position")
-    )
+def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link."""
+    a = members.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("token").alias("ta"), F.col("weight").alias("wa"))
+    b = members.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("token").alias("tb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ta", "wa", "tb").mapInArrow(_overlapping, "a long, b long")
 
 
 def _in_components(postings: DataFrame, components: DataFrame | None) -> DataFrame:
-    """``postings`` with each set's component so far, on shingles that still join several components."""
-    if components is None:
-        return postings.withColumn("component", F.col("sid"))
-    with_own = postings.join(components.withColumnRenamed("id", "sid"), "sid", "left").withColumn(
-        "component", F.coalesce("component_id", "sid")
-    ).drop("component_id")
+    """``postings`` with each set's component so far, of tokens that still join several components."""
+    with_own = postings.withColumn("component", F.col("sid"))
+    if components is not None:
+        with_own = postings.join(components.withColumnRenamed("id", "sid"), "sid", "left").withColumn(
+            "component", F.coalesce("component_id", "sid")
+        ).drop("component_id")
     several = with_own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return with_own.join(several.select("key"), "key", "left_semi")
 
 
-def _hub_links(postings: DataFrame, arrays: DataFrame, first: bool) -> DataFrame:
+def _hub_links(postings: DataFrame, members: DataFrame, first: bool) -> DataFrame:
     """Verified links of every set to the hub of each of its posting lists."""
     pick = F.min if first else F.max
-    hubs = postings.groupBy("key").agg(
-        pick(F.struct("sid", "n", "component")).alias("hub"), F.count(F.lit(1)).alias("size")
-    ).where("size > 1")
+    hubs = postings.groupBy("key").agg(pick(F.struct("sid", "n", "component")).alias("hub"))
     pairs = (
         postings.join(hubs, "key")
         .where("component <> hub.component")
@@ -297,34 +343,38 @@ def _hub_links(postings: DataFrame, arrays: DataFrame, first: bool) -> DataFrame
         .select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
         .distinct()
     )
-    return _verified(pairs, arrays)
+    return _verified(pairs, members)
 
 
-def _tree_links(postings: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Verified links between different components within the same posting list."""
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    chunks = F.when(F.col("size") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / (BLOCK // 2))).cast("int")
+def _tree_links(postings: DataFrame, members: DataFrame) -> DataFrame:
+    """Links between different components within the same posting list; lists with the same least set make a block."""
+    least = postings.groupBy("key").agg(F.min("sid").alias("block"))
+    blocks = postings.join(least, "key").select("block", "sid", "component", "n").distinct()
+    blocks = scratch(blocks.join(members.select("sid", F.size("token").alias("held")), "sid"), "blocks")
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("held").alias("held"))
+    parts = F.greatest(F.col("sets") / BLOCK, F.col("held") / BLOCK_TOKENS)
+    sizes = sizes.select("block", F.when(parts <= 1, F.lit(1)).otherwise(F.ceil(2 * parts)).cast("int").alias("chunks"))
     own = F.pmod(F.hash("sid"), F.col("chunks")).cast("int")
     rows = (
-        postings.join(sizes, "key")
-        .withColumn("chunks", chunks)
+        blocks.drop("held").join(sizes, "block")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .join(arrays.select("sid", "bits"), "sid")
+        .join(members.select("sid", "token", "weight"), "sid")
         .select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            "sid", "component", "n", "position", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"),
+            "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            "sid", "component", "n", "token", "weight", (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .repartition("block", "i", "j")
+        .sortWithinPartitions("block", "i", "j")
     )
-    return _verified(rows.mapInArrow(_blocks, "a long, b long").distinct(), arrays)
+    return rows.mapInArrow(_blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id, set_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch(docs.mapInArrow(_described, "doc_id long, n long, sid long, sid2 long"), "shingle-sets")
+    described = "doc_id long, text_hash long, n long, sid long, sid2 long"
+    rows = scratch(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_described, described), "shingle-sets")
     sets = rows.where("n > 0").groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("rep"))
     only = (
         docs.select("text").mapInArrow(_emitted, "key long, sid long")
@@ -332,46 +382,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
     )
     left = scratch(
-        sets.join(only, "sid", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") / 4)).where("rep is not null").select("rep", "sid"),
+        sets.join(only, "sid", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") / 4))
+        .where("rep is not null").select(F.col("rep").alias("doc_id"), "sid"),
         "candidate-sets",
-    )
-    del sets, only
-    release(docs.sparkSession)
-    arrays = scratch(
-        docs.join(left, docs["doc_id"] == left["rep"]).select("sid", "text")
-        .mapInArrow(_arrays, "sid long, n long, shingles array<long>, bits binary")
-        .dropDuplicates(["sid"]),
-        "candidate-shingles",
     )
+    texts = probable_rows(docs, "doc_id", left).join(left, "doc_id").select("doc_id", "sid", "text").distinct()
+    arrays = scratch(texts.select("sid", "text").mapInArrow(_arrays, "sid long, n long, shingles array<long>"), "candidate-shingles")
+    members = scratch(tokens(arrays), "candidate-tokens")
+    forget(arrays)
     forget(left)
-    postings = scratch(_prefixes(arrays), "postings")
-    release(docs.sparkSession)
+    postings = scratch(_in_components(prefixes(members), None).select("key", "sid", "n"), "postings")
     links = components = None
     for first in (True, False):
-        active = _in_components(postings, components)
-        found = scratch(_hub_links(active, arrays, first), "hub-links")
+        found = scratch(_hub_links(_in_components(postings, components), members, first), "hub-links")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links)
     active = scratch(_in_components(postings, components), "active-postings")
-    links = links.unionByName(_tree_links(active, arrays))
+    links = links.unionByName(_tree_links(active, members))
     components = connected_components(links)
-    ids = (
-        rows.where("n > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"))
-        .join(components.withColumnRenamed("id", "sid"), "sid")
-        .select("sid", "sid2", "rep", "component_id")
-    )
-    least = ids.groupBy("component_id").agg(F.min("rep").alias("least"))
-    lone = rows.where("n > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("own"))
+    named = rows.where("n > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep")).join(
+        components.withColumnRenamed("id", "sid"), "sid", "left"
+    )
+    least = named.where("component_id is not null").groupBy("component_id").agg(F.min("rep").alias("least"))
     label = scratch(
-        lone.join(ids.join(least, "component_id").select("sid", "sid2", "least"), ["sid", "sid2"], "left").select(
-            "sid", "sid2", F.coalesce("least", "own").alias("component_id")
-        ),
+        named.join(least, "component_id", "left").select("sid", "sid2", F.coalesce("least", "rep").alias("component_id")),
         "set-components",
     )
-    for table in (arrays, postings, active):
+    for table in (members, postings, active):
         forget(table)
     return rows.join(label, ["sid", "sid2"], "left").select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("sid").alias("set_id"),
@@ -381,12 +422,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, with their columns.
 
-    Rows that repeat that doc_id all stay; rows without doc_id stay where no row with equal shingles has one.
+    Equal rows all stay; rows without doc_id stay where no row with equal shingles has one.
     """
-    kept = near_duplicates(docs).select("doc_id", "component_id", "set_id", "n_shingles")
-    kept = kept.where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return out.select(*docs.columns)
+    own, text_hash = unused("kept_id", docs), unused("kept_hash", docs)
+    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept[own]) & (F.xxhash64(docs["text"].cast("string")) == kept[text_hash])
+    return docs.join(kept, same, "left_semi")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -98,30 +99,112 @@ def test_empty_table(spark):
     assert ngram_join.near_duplicates(docs).count() == 0
 
 
-@pytest.mark.parametrize("across", [False, True])
-def test_trees_lose_no_link(across):
-    rnd = random.Random(11)
-    sets = []
-    for family in range(30):
+def families(seed, n_families, keep, added):
+    """Sets of tokens with weights: families of one base each, as rows of a block."""
+    rnd = random.Random(seed)
+    weight, rows = {}, []
+    for _ in range(n_families):
         base = [rnd.getrandbits(62) for _ in range(rnd.choice([2, 9, 40, 90, 300]))]
         for _ in range(4):
-            cut = [x for x in base if rnd.random() > 0.08]
-            sets.append(sorted(set(cut + [rnd.getrandbits(62) for _ in range(len(base) // 25)])))
-    import numpy as np
+            held = [x for x in base if rnd.random() < keep] + [rnd.getrandbits(62) for _ in range(len(base) // added)]
+            for t in held:
+                weight.setdefault(t, rnd.choice([1, 1, 1, 2, 7, 30]))
+            if held:
+                k = len(rows)
+                rows.append((k, k, sum(weight[t] for t in held), held, [weight[t] for t in held], k % 2))
+    return rows
+
+
+def linked_in_block(rows, across):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(rows, 2):
+        w = dict(zip(a[3], a[4], strict=True))
+        common = sum(w[t] for t in w.keys() & set(b[3]))
+        if 100 * common >= 75 * (a[2] + b[2] - common) and (not across or a[5] != b[5]):
+            parent[max(find(a[0]), find(b[0]))] = min(find(a[0]), find(b[0]))
+    return [find(k) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("across", [False, True])
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_trees_lose_no_component(across, seed):
+    rows = families(seed, 30, 0.92, 25)
+    parent = list(range(len(rows)))
+    for a, b in ngram_join.Block(rows).links(across):
+        x, y = a, b
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        assert x != y  # every link joins two components
+        parent[max(x, y)] = min(x, y)
+    want = linked_in_block(rows, across)
+    assert len(set(want)) < len(rows)
+    for k in range(len(rows)):
+        x = k
+        while parent[x] != x:
+            x = parent[x]
+        assert x == want[k]
+
 
-    rows = [(i, i, len(s), 0, ngram_join._bitmap(np.asarray(s, np.int64)), i % 2 if across else 0) for i, s in enumerate(sets) if s]
-    found = {tuple(sorted(p)) for p in ngram_join.block_pairs(rows, across)}
-    for a in range(len(sets)):
-        for b in range(a + 1, len(sets)):
-            common = len(set(sets[a]) & set(sets[b]))
-            links = common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common)
-            if links and (not across or a % 2 != b % 2):
-                assert (a, b) in found
+def test_members_of_one_component_are_not_linked():
+    rows = [(k, 5, 3, [1, 2, 3], [1, 1, 1], 0) for k in range(30)]
+    assert list(ngram_join.Block(rows).links(False)) == []
 
 
 def test_node_bounds_prune_unlike_sets():
-    import numpy as np
+    rnd = random.Random(5)
+    rows = [(i, i, 200, [rnd.getrandbits(62) for _ in range(200)], [1] * 200, 0) for i in range(64)]
+    block = ngram_join.Block(rows)
+    tree = ngram_join.signature_tree(block.members)
+    assert not any(block.may_link(x, y) for x, y in itertools.combinations(tree.children, 2))
+    assert list(block.links(False)) == []
+
+
+def test_weights_sum_over_bits():
+    rnd = random.Random(1)
+    weights = [rnd.randrange(1, 5000) for _ in range(300)]
+    bits = rnd.getrandbits(300)
+    assert ngram_join.Weights(weights)(bits) == sum(w for k, w in enumerate(weights) if bits >> k & 1)
+
+
+def test_blocks_cut_into_chunks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 12)
+    rows = corpus(17)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+
+
+def test_near_copies_around_the_threshold(spark):
+    """A crowd of copies of which about half of all pairs link: hubs leave many components to the trees."""
+    rnd = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(2 + i % 3):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+
 
-    rnd = np.random.default_rng(5)
-    rows = [(i, i, 200, 0, ngram_join._bitmap(rnd.integers(0, 2**62, 200)), 0) for i in range(64)]
-    assert list(ngram_join.block_pairs(rows, False)) == []
+def test_clashing_columns_nulls_and_a_long_text(spark):
+    long = " ".join(f"t{i % 7919}" for i in range(300_000))
+    names = ["sid", "n", "kept_id", "component_id", "key", "table_word", "token", "rep", "text_"]
+    rows = [(i, t, *["z"] * len(names)) for i, t in [(5, long), (3, long + " end"), (None, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (None, None), (1, "q r s t u v")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.near_duplicates(docs).collect())
+    assert found == [(0, 0), (0, 9), (1, 1), (3, 3), (5, 3), (9, 9), (9, 9)]
+    kept = ngram_join.one_per_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 9, 9]
