@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,17 @@ def probable_rows(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return near.select(*[rows[c] for c in rows.columns])
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``most`` bytes of ``column``; a longer value is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -9,12 +9,12 @@ exactly as one-by-one best fit would. The plan is a list of runs: the i-th docum
 to the run that covers i, which gives bin and offset by arithmetic. Documents are numbered within their
 length by salted counting, so one length may hold a third of all rows.
 
-Tokenising works on white-space separated chunks with a bounded cache of chunk -> ids; the tokenizer drops
-white space and never merges across it, so this equals encoding the whole text. Texts with the separators
-U+001C..U+001F, which Python splits on and the tokenizer does not, are encoded whole.
+Tokenising works on white-space separated chunks with a cache of chunk -> ids, bounded in bytes; the tokenizer drops white space and never merges across it, so this equals encoding the whole text. Texts
+with the separators U+001C..U+001F, which Python splits on and the tokenizer does not, are encoded whole.
 
 Defined results: a null text is an empty document (the end id only); documents over the capacity are cut
-into full pieces and a rest; repeated rows are packed each; an empty table gives no rows.
+into full pieces and a rest; a text of any length is taken whole, alone if it is long; repeated rows are packed
+each; a null doc_id stays null; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,24 @@ from lodestone.llm.common import scratch
 CAPACITY = 4096
 END_ID = 1
 SALTS = 256
-#: Keys of each generation of the two caches of a Python worker.
-CACHED = 300_000
+#: Bytes that a Python worker's caches of chunks and their parts hold.
+CACHED_BYTES = 256 << 20
 TOKENIZER = "word_bpe_49k.json"
 
-#: Letters, then ASCII signs other than apostrophes.
-_WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Python splits on these, the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: ASCII signs other than apostrophes.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,21 +66,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Remembered(dict):
-    """A function's values for the keys seen lately: at most two generations of ``most`` keys."""
+    """A function's values for the keys seen lately, in two generations of ``most`` bytes or so each."""
 
     def __init__(self, compute: Callable[[str], bytes], most: int):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.held, self.old = compute, most, 0, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.compute(key)
         if len(key) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
+            if self.held >= self.most:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[key] = found
+            self.held += 200 + len(key)  # an entry takes some 200 bytes besides the key's characters
         return found
 
 
@@ -74,52 +89,61 @@ class Ids:
     """Texts -> their ids as little-endian unsigned 32-bit bytes.
 
     White-space separated chunks are looked up first, then their parts: a chunk of letters followed by signs
-    is a lower-cased word and a run of signs, which the tokenizer treats apart. Any other chunk (digits,
-    apostrophes, marks, letters whose lower case depends on their place) goes to the tokenizer whole.
+    is a lower-cased word and a run of signs, which the tokenizer treats apart. Such a part is one pre-token and
+    goes to the tokenizer's model straight away, its bytes written as the characters that stand for them. Any other
+    chunk (digits, apostrophes, marks, letters whose lower case depends on their place) goes to the tokenizer whole.
+    A broadcast carries the object, so that what one task of a Python worker learned serves the next, and the
+    caches, of ``most`` bytes or so, go with the broadcast.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_BYTES):
+        self.path, self.most = path, most
+        self.tokenizer = None
+        self.parts, self.chunks = Remembered(self.part, most // 4), Remembered(self.chunk, most // 4)
+
+    def __reduce__(self):
+        return Ids, (self.path, self.most)
+
+    def load(self) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Remembered(self.whole, CACHED)
-        self.chunks = Remembered(self.chunk, CACHED)
+        self.tokenizer = Tokenizer.from_file(self.path)
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        m = _WORD_AND_SIGNS.fullmatch(chunk)
-        if m and m[1].isalpha() and m[1].lower().isalpha() and "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk):
-            return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+        letters = chunk.rstrip(_SIGNS)
+        if letters.isalpha():
+            word = letters.lower()
+            if chunk.isascii() or (word.isalpha() and "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)):
+                if len(letters) == len(chunk):
+                    return self.parts[word]
+                return self.parts[word] + self.parts[chunk[len(letters) :]]
         return self.whole(chunk)
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if self.tokenizer is None:
+            self.load()
+        if _SEPARATORS.search(text):
             return self.whole(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-def _ids(path: str) -> Ids:
-    """One per Python worker, so that what one task learned serves the next."""
-    import builtins
-
-    held = builtins.__dict__.setdefault("_lodestone_ids", {})
-    if path not in held:
-        held[path] = Ids(path)
-    return held[path]
-
-
-def _cutter(path: str, capacity: int, end_id: int):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
+def _cutter(held: Broadcast, capacity: int, end_id: int):
+    end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ids(path)
+        ids_of = held.value
         for batch in batches:
             doc_ids, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = ids_of(text.as_py() or "") + end
-                doc_id = doc_id.as_py()
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     doc_ids.append(doc_id)
@@ -143,8 +167,8 @@ def _cutter(path: str, capacity: int, end_id: int):
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> one row per piece of at most ``capacity`` ids."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _cutter(path, capacity, end_id), PIECES
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _cutter(docs.sparkSession.sparkContext.broadcast(Ids(path)), capacity, end_id), PIECES
     )
 
 
