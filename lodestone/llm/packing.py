@@ -38,7 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 256
 #: Bytes that a Python worker's caches of chunks and their parts hold.
-CACHED_BYTES = 256 << 20
+CACHED_BYTES = 96 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 #: Python splits on these, the tokenizer does not.
