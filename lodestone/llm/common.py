@@ -82,7 +82,11 @@ def probable_rows(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return near.select(*[rows[c] for c in rows.columns])
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+#: Bytes of text that a Python worker turns into objects at once; a longer text comes alone.
+TEXT_BYTES = 4 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of at most ``most`` bytes of ``column``; a longer value is a slice of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -107,30 +107,47 @@ class DigestIndex:
         return out
 
 
+def admit_descending(index: DigestIndex, ids: DataFrame) -> DataFrame:
+    """``index.admit`` for a table of (doc_id, digest) in two batches, the upper half of the doc_ids first.
+
+    The digests that the second batch shares with the first are found in the index by the merge join; as ids fall
+    from batch to batch, the index holds the largest of each digest. Rows without doc_id belong to the second batch.
+    """
+    middle = ids.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    if middle is None:
+        return index.admit(ids)
+    upper = F.coalesce(F.col("doc_id") >= middle, F.lit(False))
+    groups = index.admit(ids.where(upper)).unionByName(index.admit(ids.where(~upper)))
+    return groups.groupBy("digest").agg(
+        F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.sum("repeats").alias("repeats")
+    )
+
+
 def annotate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """``docs`` with keep_id, group_size, kept, text_sha256 (clashing input columns are replaced)."""
-    digest = unused("text_digest", docs)
+    digest, repeats = unused("text_digest", docs), unused("repeats", docs)
     new = {"keep_id", "group_size", "kept", "text_sha256"}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new], text_digest("text").alias(digest))
     groups = index.admit(docs.select(F.col("doc_id"), F.col(digest).alias("digest")))
     repeated = not groups.where("repeats > 1").isEmpty()
     out = (
-        docs.join(groups.withColumnRenamed("digest", digest), digest)
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeats") > 0))
+        docs.join(groups.withColumnsRenamed({"digest": digest, "repeats": repeats}), digest)
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(repeats) > 0))
         .withColumnRenamed(digest, "text_sha256")
     )
     if repeated:
         first = Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")
         out = out.withColumn("kept", F.col("kept") & (F.row_number().over(first) == 1))
-    return out.drop("repeats")
+    return out.drop(repeats)
 
 
 def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
     own = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    admit = own.admit if index is not None else lambda ids: admit_descending(own, ids)
     digest, keep, repeats = (unused(x, docs) for x in ("own_digest", "own_keep_id", "own_repeats"))
     out = docs.withColumn(digest, text_digest("text"))
-    groups = own.admit(out.select("doc_id", F.col(digest).alias("digest")))
+    groups = admit(out.select("doc_id", F.col(digest).alias("digest")))
     repeated = not groups.where("repeats > 1").isEmpty()
     if index is None:
         own.drop()
@@ -148,7 +165,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Digests once, from the whole texts; grouping and labelling then move 72 bytes a document.
     ids = scratch(docs.select("doc_id", text_digest("text").alias("digest")), "doc-digests")
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    groups = index.admit(ids)
+    groups = scratch(admit_descending(index, ids), "digest-merged")
     repeated = not groups.where("repeats > 1").isEmpty()
     index.drop()
     out = ids.join(groups, "digest").select(

@@ -1,9 +1,11 @@
 """Threshold-scaled sketches of whole texts.
 
-A text's sketch keeps every distinct five-word shingle hash below a fixed fraction of the hash range (and the
-smallest one where that leaves none). Sketches of different texts are therefore comparable whatever the
-texts' sizes, and the sketch of a union is the union of the sketches. Likeness is the estimated containment
-of the smaller sketch in the larger: shared hashes / hashes of the smaller.
+A text's sketch keeps every distinct five-word shingle hash below a fixed fraction of the hash range; a text of
+at most ``WHOLE`` shingles keeps the others too. The hashes under the fraction make sketches of very unequal texts
+comparable, and those of a union of texts are the union of theirs. Likeness is the estimated containment of the
+smaller sketch in the larger: shared hashes / hashes of the smaller, over all hashes where both texts keep them
+all and over those under the fraction otherwise. Where a short text has none under it, its containment in a long
+text is unknown and given as 0 (of n shingles none is under it with probability 0.75 ** n).
 
 Everything is a DataFrame expression. Neighbours in doc_id order are found on a slim table (id, hash, length)
 that is range-partitioned; only then do texts meet: each text is shuffled once by its id, and the beginning
@@ -26,6 +28,8 @@ WIDTH = 5
 #: One hash in this many is kept.
 KEEP_ONE_IN = 4
 _CEILING = -(2**63) + 2**64 // KEEP_ONE_IN
+#: Texts of up to this many shingles (with repeats) keep all their hashes.
+WHOLE = 64
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -46,16 +50,13 @@ def sketch(text: Column) -> Column:
     """Sorted upper 32 bits of the kept hashes."""
     return let(
         shingle_hashes(text),
-        lambda h: let(
-            F.filter(h, lambda x: x < F.lit(_CEILING)),
-            lambda kept: F.sort_array(
-                F.array_distinct(
-                    F.transform(
-                        F.when((F.size(kept) > 0) | (F.size(h) == 0), kept).otherwise(F.array(F.array_min(h))),
-                        lambda x: F.shiftright(x, 32).cast("int"),
-                    )
+        lambda h: F.sort_array(
+            F.array_distinct(
+                F.transform(
+                    F.when(F.size(h) <= WHOLE, h).otherwise(F.filter(h, lambda x: x < F.lit(_CEILING))),
+                    lambda x: F.shiftright(x, 32).cast("int"),
                 )
-            ),
+            )
         ),
     )
 
@@ -67,10 +68,19 @@ def as_text(hashes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Containment of the smaller sketch in the larger one, 0 to 1."""
-    smaller = F.least(F.size(a), F.size(b))
-    return F.when(smaller > 0, F.size(F.array_intersect(a, b)).cast("double") / smaller).otherwise(
-        (F.greatest(F.size(a), F.size(b)) == 0).cast("double")
-    )
+    limit = F.lit(_CEILING >> 32)  # sketches are sorted: the last hash tells whether it keeps those over the fraction
+    whole = (F.size(a) > 0) & (F.size(b) > 0) & (F.try_element_at(a, F.lit(-1)) >= limit) & (F.try_element_at(b, F.lit(-1)) >= limit)
+
+    def part(x: Column) -> Column:
+        return F.when(whole | (F.size(x) == 0) | (F.try_element_at(x, F.lit(-1)) < limit), x).otherwise(F.filter(x, lambda h: h < limit))
+
+    def shared(both: Column) -> Column:
+        smaller = F.least(F.size(both["a"]), F.size(both["b"]))
+        return F.when(smaller > 0, F.size(F.array_intersect(both["a"], both["b"])).cast("double") / smaller).otherwise(
+            (F.greatest(F.size(a), F.size(b)) == 0).cast("double")
+        )
+
+    return let(F.struct(part(a).alias("a"), part(b).alias("b")), shared)
 
 
 def neighbours(slim: DataFrame) -> DataFrame:

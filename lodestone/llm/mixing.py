@@ -130,6 +130,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     copies, one = unused("own_copies", docs), unused("own_copy", docs)
     # A document's copies follow from its id and size; rows that repeat both share them in draw order.
     taken = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(one))
+    taken = scratch(taken.where(F.col(copies) > 0), "mix-copies")
     size = unused("own_size", docs)
     out = docs.withColumn(size, word_count(text_or_empty("text"))).alias("d").join(
         taken.alias("t"),
@@ -137,16 +138,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         & F.col("d.source").cast("string").eqNullSafe(F.col("t.source"))
         & (F.col(f"d.{size}") == F.col("t.size")),
     )
-    # Rows that repeat id, source and size: the group's copies are dealt to them in turn.
-    turn = Window.partitionBy("d.doc_id", "d.source", f"d.{size}").orderBy(F.lit(1))
-    rank = F.row_number().over(turn)
-    mine = F.floor(F.col(copies) / F.col(one)) + (rank <= F.pmod(F.col(copies), F.col(one))).cast("long")
-    return (
-        out.withColumn("own_turns", mine)
-        .where("own_turns > 0")
-        .withColumn("own_turn", F.explode(F.sequence(F.lit(1), F.col("own_turns").cast("int"))))
-        .select(*[F.col(f"d.{c}") for c in docs.columns])
-    )
+    mine = F.col(copies)
+    if not taken.where(F.col(one) > 1).isEmpty():
+        # Rows that repeat id, source and size: the group's copies are dealt to them in turn, by their texts, so that
+        # a task that runs again deals alike.
+        turn = Window.partitionBy("d.doc_id", "d.source", f"d.{size}").orderBy(F.xxhash64("d.text"))
+        mine = F.floor(F.col(copies) / F.col(one)) + (F.row_number().over(turn) <= F.pmod(F.col(copies), F.col(one))).cast("long")
+    turns = unused("own_turns", docs)
+    out = out.select(*[F.col(f"d.{c}") for c in docs.columns], mine.cast("int").alias(turns)).where(F.col(turns) > 0)
+    return out.withColumn(unused("own_turn", out), F.explode(F.sequence(F.lit(1), F.col(turns)))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import let, unused
 
-KEY = "lodestone"
+#: The registered query's key. Whoever knows a key can undo its pseudonyms: pass a secret one.
+DEMONSTRATION_KEY = "demonstration"
 ROUNDS = 8
 
 #: kind -> pattern, in the order they are tried at a position
@@ -42,10 +43,15 @@ PATTERNS: dict[str, str] = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Length of the calendar's cycle, and the two radices its days are permuted in.
 CYCLE_DAYS, CYCLE_RADICES = 146097, (189, 773)
+#: 2000-01-01, a first day of the cycle, in days since 1970-01-01.
+CYCLE_START = 10957
+#: Months with a 29th in every year, and with a 31st; leap years within a cycle of 400.
+MONTHS_29, MONTHS_31 = (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12), (1, 3, 5, 7, 8, 10, 12)
+LEAP_YEARS = tuple(y for y in range(0, 400, 4) if y % 100 or y == 0)
 
 
-def _keyed(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(KEY), *parts), 256)
+def _keyed(key: str, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
 
 
 def _number(seed: Column) -> Column:
@@ -81,13 +87,13 @@ def _add(half: Column, seed: Column) -> Column:
     )
 
 
-def permute_string(s: Column, kind: str) -> Column:
+def permute_string(s: Column, kind: str, key: str) -> Column:
     """Keyed one-to-one map of strings of equal length and character classes."""
     cut = F.ceil(F.length(s) / 2).cast("int")
     halves = F.struct(F.substring(s, F.lit(1), cut).alias("a"), F.substring(s, cut + 1, F.length(s)).alias("b"))
 
     def turn(x: Column, r: Column) -> Column:
-        seed = lambda other: _keyed(F.lit(kind), r.cast("string"), F.length(s).cast("string"), other)
+        seed = lambda other: _keyed(key, F.lit(kind), r.cast("string"), F.length(s).cast("string"), other)
         return F.when(
             F.pmod(r, F.lit(2)) == 0, F.struct(_add(x["a"], seed(x["b"])).alias("a"), x["b"].alias("b"))
         ).otherwise(F.struct(x["a"].alias("a"), _add(x["b"], seed(x["a"])).alias("b")))
@@ -95,13 +101,13 @@ def permute_string(s: Column, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, turn, lambda x: F.concat(x["a"], x["b"]))
 
 
-def permute_number(n: Column, radices: tuple[int, int], kind: str) -> Column:
+def permute_number(n: Column, radices: tuple[int, int], kind: str, key: str) -> Column:
     """Keyed one-to-one map of the whole numbers under the product of ``radices``."""
     first, second = (F.lit(r).cast("long") for r in radices)
     start = F.struct(F.floor(n / second).cast("long").alias("a"), F.pmod(n, second).cast("long").alias("b"))
 
     def turn(x: Column, r: Column) -> Column:
-        seed = lambda other: _number(_keyed(F.lit(kind), r.cast("string"), other.cast("string")))
+        seed = lambda other: _number(_keyed(key, F.lit(kind), r.cast("string"), other.cast("string")))
         return F.when(
             F.pmod(r, F.lit(2)) == 0, F.struct(F.pmod(x["a"] + seed(x["b"]), first).alias("a"), x["b"].alias("b"))
         ).otherwise(F.struct(x["a"].alias("a"), F.pmod(x["b"] + seed(x["a"]), second).alias("b")))
@@ -134,10 +140,10 @@ def refill(template: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(template)), put), "")
 
 
-def card(s: Column) -> Column:
+def card(s: Column, key: str) -> Column:
     """A card number of the same length and layout with a right check digit; null if ``s`` fails Luhn."""
     def new(d: Column) -> Column:
-        body = permute_string(F.substring(d, F.lit(1), F.length(d) - 1), "card")
+        body = permute_string(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
         check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
         return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, refill(s, F.concat(body, check.cast("string"))))
 
@@ -153,11 +159,11 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), step)
 
 
-def iban(s: Column) -> Column:
+def iban(s: Column, key: str) -> Column:
     """An IBAN of the same country and layout with right check digits; null if ``s`` fails mod 97."""
     def new(plain: Column) -> Column:
         country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-        moved = permute_string(body, "iban")
+        moved = permute_string(body, "iban", key)
         check = F.lpad((F.lit(98) - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
         whole = F.concat(country, check, moved)
         spaced = F.array_join(
@@ -172,80 +178,123 @@ def iban(s: Column) -> Column:
     return let(F.regexp_replace(s, " ", ""), new)
 
 
-def ip(s: Column) -> Column:
+def ip(s: Column, key: str) -> Column:
     """An address for an address; null where an octet is over 255."""
     octets = F.transform(F.split(s, r"\."), lambda o: o.cast("long"))
 
     def new(o: Column) -> Column:
         whole = F.aggregate(o, F.lit(0).cast("long"), lambda t, x: t * 256 + x)
         parts = lambda m: F.concat_ws(".", *[F.pmod(F.shiftright(m, 8 * k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
-        return F.when(F.forall(o, lambda x: x <= 255), let(permute_number(whole, (65536, 65536), "ip"), parts))
+        return F.when(F.forall(o, lambda x: x <= 255), let(permute_number(whole, (65536, 65536), "ip", key), parts))
 
     return let(octets, new)
 
 
-def date(s: Column) -> Column:
-    """A date for a date in the same layout, within the same 400-year cycle; null where ``s`` is no date."""
+def _day_first(s: Column, key: str) -> Column:
+    """A date dd/MM/yyyy whose day is over 12, for such a date: days 13 to 28, 29, 30 and 31 are permuted each among
+    themselves, so that no month-first reading ever comes out."""
+    day, month, year = (F.substring(s, at, n).cast("long") for at, n in ((1, 2), (4, 2), (7, 4)))
+    era, within = F.floor(year / 400) * 400, F.pmod(year, F.lit(400))
+
+    def written(day: Column, month: Column, year: Column) -> Column:
+        return F.format_string("%02d/%02d/%04d", day, month, era + year)
+
+    def listed(months: tuple[int, ...]) -> Column:
+        names = F.array(*[F.lit(m) for m in months])
+        n = within * len(months) + F.array_position(names, month.cast("int")) - 1
+        return let(
+            permute_number(n, (400, len(months)), f"date{len(months)}", key),
+            lambda p: written(day, F.get(names, F.pmod(p, F.lit(len(months))).cast("int")), F.floor(p / len(months))),
+        )
+
+    leap = F.array(*[F.lit(y) for y in LEAP_YEARS])
+    return (
+        F.when(
+            day < 29,
+            let(
+                permute_number((within * 12 + month - 1) * 16 + day - 13, (4800, 16), "date16", key),
+                lambda p: written(F.pmod(p, F.lit(16)) + 13, F.pmod(F.floor(p / 16), F.lit(12)) + 1, F.floor(p / 192)),
+            ),
+        )
+        .when(day == 31, listed(MONTHS_31))
+        .when(month != 2, listed(MONTHS_29))
+        .otherwise(
+            let(
+                permute_number(F.array_position(leap, within.cast("int")).cast("long") - 1, (len(LEAP_YEARS), 1), "date_leap", key),
+                lambda p: written(day, month, F.get(leap, p.cast("int"))),
+            )
+        )
+    )
+
+
+def date(s: Column, key: str) -> Column:
+    """A date for a date in the same layout, within the same 400 years; null where ``s`` is no date.
+
+    A slashed date is month-first where that reading is valid and stays so; day-first dates are a space of their own.
+    """
     iso = F.when(s.contains("/"), F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 1, 2), F.substring(s, 4, 2))).otherwise(s)
     swapped = F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2))
     month_first = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
-    day_first = F.when(s.contains("/"), F.try_to_timestamp(swapped, F.lit("yyyy-MM-dd")).cast("date"))
+    day_first = F.try_to_timestamp(swapped, F.lit("yyyy-MM-dd")).cast("date")
 
     def new(d: Column, pattern: str) -> Column:
-        days = F.unix_date(d).cast("long")
-        moved = permute_number(F.pmod(days, F.lit(CYCLE_DAYS)), CYCLE_RADICES, "date")
-        return F.date_format(F.date_from_unix_date((F.floor(days / CYCLE_DAYS) * CYCLE_DAYS + moved).cast("int")), pattern)
-
-    slashed = F.coalesce(new(month_first, "MM/dd/yyyy"), new(day_first, "dd/MM/yyyy"))
-    return F.when(s.contains("/"), slashed).otherwise(new(month_first, "yyyy-MM-dd"))
+        days = F.unix_date(d).cast("long") - CYCLE_START
+        moved = permute_number(F.pmod(days, F.lit(CYCLE_DAYS)), CYCLE_RADICES, "date", key)
+        return F.date_format(F.date_from_unix_date((F.floor(days / CYCLE_DAYS) * CYCLE_DAYS + moved + CYCLE_START).cast("int")), pattern)
+
+    return (
+        F.when(~s.contains("/"), new(month_first, "yyyy-MM-dd"))
+        .when(month_first.isNotNull(), new(month_first, "MM/dd/yyyy"))
+        .when(day_first.isNotNull(), _day_first(s, key))
+    )
 
 
-def email(s: Column) -> Column:
-    return F.concat(permute_string(F.substring_index(s, "@", 1), "email"), F.lit("@"), F.substring_index(s, "@", -1))
+def email(s: Column, key: str) -> Column:
+    return F.concat(permute_string(F.substring_index(s, "@", 1), "email", key), F.lit("@"), F.substring_index(s, "@", -1))
 
 
-def phone(s: Column) -> Column:
+def phone(s: Column, key: str) -> Column:
     """The country code stays; null where there are fewer than nine digits or more than fifteen."""
     code = F.regexp_extract(s, r"^(\+[0-9]{1,3}[ .-]?)?", 1)
     rest = F.substring(s, F.length(code) + 1, F.length(s))
-    return F.when(F.length(digits_of(s)).between(9, 15), F.concat(code, refill(rest, permute_string(digits_of(rest), "phone"))))
+    return F.when(F.length(digits_of(s)).between(9, 15), F.concat(code, refill(rest, permute_string(digits_of(rest), "phone", key))))
 
 
-def secret(s: Column) -> Column:
+def secret(s: Column, key: str) -> Column:
     head = F.regexp_extract(s, r"^(AKIA|\w+[\s\h]*[=:][\s\h]*[\"']?)", 1)
-    return F.concat(head, permute_string(F.substring(s, F.length(head) + 1, F.length(s)), "secret"))
+    return F.concat(head, permute_string(F.substring(s, F.length(head) + 1, F.length(s)), "secret", key))
 
 
-REPLACERS: dict[str, Callable[[Column], Column]] = {
+REPLACERS: dict[str, Callable[[Column, str], Column]] = {
     "email": email,
     "secret": secret,
     "iban": iban,
     "date": date,
     "ip": ip,
-    "ssn": lambda s: refill(s, permute_string(digits_of(s), "ssn")),
+    "ssn": lambda s, key: refill(s, permute_string(digits_of(s), "ssn", key)),
     "card": card,
     "phone": phone,
 }
 
 
-def replaced(match: Column) -> Column:
+def replaced(match: Column, key: str) -> Column:
     """(kind, value) for a match; kind null and the match itself where no kind validates."""
     def tried(kind: str, pattern: str) -> Column:
         return F.when(
             match.rlike(f"^(?:{pattern})$"),
-            let(REPLACERS[kind](match), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))),
+            let(REPLACERS[kind](match, key), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))),
         )
 
     kept = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value"))
     return F.coalesce(*[tried(k, p) for k, p in PATTERNS.items()], kept)
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced, and a map column ``replaced`` of counts by kind."""
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with personal data in ``text_col`` replaced under ``key``, and an array ``replaced`` of counts by kind."""
     found, out = unused("own_found", docs), unused("replaced", docs)
     text = F.col(text_col)
     docs = docs.withColumn(found, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    new = F.transform(F.col(found), replaced)
+    new = F.transform(F.col(found), lambda match: replaced(match, key))
     pieces = F.split(text, ANY, -1)
     joined = let(new, lambda r: F.struct(
         F.array_join(F.flatten(F.zip_with(pieces, r, lambda p, x: F.array(p, F.coalesce(x["value"], F.lit(""))))), "").alias("text"),
@@ -262,5 +311,5 @@ def pseudonymize(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and how many of each kind it holds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymize(docs)
+    out = pseudonymize(docs, DEMONSTRATION_KEY)
     return out.select("doc_id", "text", *[F.get("replaced", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(PATTERNS)])

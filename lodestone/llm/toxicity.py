@@ -7,7 +7,7 @@ words and beginnings of words learned from the training sample: those seen almos
 once for texts that are copies of each other.
 
 Trees are fitted on the driver on at most ``SAMPLE`` labelled rows (a documented bound; only vectors and
-labels arrive there), a third of which calibrates the scores. Labels of held-out documents, lang, source
+labels arrive there), a quarter of which only calibrates the scores. Labels of held-out documents, lang, source
 and doc_id are never inputs.
 
 Defined results: null and empty texts are scored like any other; without labelled rows of both kinds the
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out
+from lodestone.llm.common import TEXT_BYTES, by_bytes, held_out
 from lodestone.llm.labelled import training_rows
 
 SAMPLE = 12000
 THRESHOLD = 0.5
+#: One training row in this many calibrates; the others teach words and trees.
+CALIBRATE_ONE_IN = 4
 LEARNED_WORDS = 600
 #: Lengths of the beginnings of words that can be learned.
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -198,9 +200,8 @@ class ToxicityModel:
     def features(self, texts: list[str]) -> np.ndarray:
         return np.asarray([text_features(t, self.fixed, self.learned) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    def fit(self, x: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> ToxicityModel:
         self.share = float(y.mean()) if len(y) else 0.0
-        calibrate = np.arange(len(y)) % 3 == 0
         if 0 < y[~calibrate].sum() < (~calibrate).sum() and 0 < y[calibrate].sum() < calibrate.sum():
             self.trees = BoostedTrees().fit(x[~calibrate], y[~calibrate])
             self.isotonic = Isotonic().fit(self.trees.raw(x[calibrate]), y[calibrate])
@@ -254,32 +255,36 @@ class Learned:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    train = training_rows(docs, labels, "toxic", sample)
-    model = ToxicityModel(frozenset(INSULTS), learned_lexicon(train))
+    # By the text, so that copies of a text are on one side; the words are learned without the rows that calibrate.
+    train = training_rows(docs, labels, "toxic", sample).withColumn("calibrate", F.pmod(F.xxhash64("text"), F.lit(CALIBRATE_ONE_IN)) == 0)
+    model = ToxicityModel(frozenset(INSULTS), learned_lexicon(train.where("not calibrate")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             x = model.features(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "label", "x"]
+                [batch.column("doc_id"), batch.column("label"), pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("calibrate")],
+                names=["doc_id", "label", "x", "calibrate"],
             )
 
-    rows = train.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, x array<double>").collect()
-    rows.sort(key=lambda r: r[0])
+    rows = train.select("doc_id", "label", "text", "calibrate").mapInArrow(
+        vectors, "doc_id long, label int, x array<double>, calibrate boolean"
+    ).collect()
+    rows.sort(key=lambda r: r[:3])
     x = np.asarray([r[2] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
-    return model.fit(x, np.asarray([r[1] for r in rows], dtype=float))
+    return model.fit(x, np.asarray([r[1] for r in rows], dtype=float), np.asarray([r[3] for r in rows], dtype=bool))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every whole text."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text", TEXT_BYTES)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(texts), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -289,7 +294,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, at, TEXT_BYTES)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.score(texts) < threshold))
 
