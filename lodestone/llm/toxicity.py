@@ -7,7 +7,7 @@ words and beginnings of words learned from the training sample: those seen almos
 once for texts that are copies of each other.
 
 Trees are fitted on the driver on at most ``SAMPLE`` labelled rows (a documented bound; only vectors and
-labels arrive there), a quarter of which only calibrates the scores. Labels of held-out documents, lang, source
+labels arrive there), a sixth of which only calibrates the scores. Labels of held-out documents, lang, source
 and doc_id are never inputs.
 
 Defined results: null and empty texts are scored like any other; without labelled rows of both kinds the
@@ -31,7 +31,7 @@ from lodestone.llm.labelled import training_rows
 SAMPLE = 12000
 THRESHOLD = 0.5
 #: One training row in this many calibrates; the others teach words and trees.
-CALIBRATE_ONE_IN = 4
+CALIBRATE_ONE_IN = 6
 LEARNED_WORDS = 600
 #: Lengths of the beginnings of words that can be learned.
 STEMS = (4, 5, 6, 7, 8, 9)
