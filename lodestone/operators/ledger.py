@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 GENESIS = ""
 LOCK_AFTER, LOCK_BASE, LOCK_MOST, IDLE = 5, 60, 900, 1800
@@ -15,21 +21,53 @@ def link_hash(prev: Column, ts: Column, case_id: Column, op: Column, detail: Col
     return F.sha2(F.concat_ws("|", prev, ts, case, op, detail), 256)
 
 
-def build_chain(entries: DataFrame, chain: str = "chain") -> DataFrame:
-    """(chain, id, hash) for entries (chain, id, ts, case_id, op, detail).
+def in_order(rows: DataFrame, key: str, order: list[str], fold: Callable[[], Callable[[Any, list], tuple]], schema: str) -> DataFrame:
+    """A fold over the ordered rows of every ``key``: one output row for each input row.
 
-    Each hash needs the one before, so a chain is a fold over its ordered entries; chains run in parallel.
+    ``fold()`` gives a function of (key, values of a row) that holds the state of one key; it gets the rows of a key
+    in ``order`` one after the other. Keys run in parallel; a key is streamed, so its length costs no memory.
     """
-    row = F.struct("id", "ts", "case_id", "op", "detail")
-    start = F.array().cast("array<struct<id:bigint,hash:string>>")
 
-    def add(done: Column, e: Column) -> Column:
-        prev = F.coalesce(F.get(done, F.size(done) - 1)["hash"], F.lit(GENESIS))
-        new = link_hash(prev, e["ts"], e["case_id"], e["op"], e["detail"])
-        return F.concat(done, F.array(F.struct(e["id"].cast("long").alias("id"), new.alias("hash"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, last = None, None
+        for batch in batches:
+            found = []
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if step is None or own != last:
+                    step, last = fold(), own
+                found.append((own, *step(own, row)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), types, strict=True)] if found else [pa.array([], f.type) for f in types], schema=types)
+
+    out = rows.sparkSession.createDataFrame([], schema).schema
+    types = to_arrow_schema(out)
+    columns = [key, *[c for c in rows.columns if c != key]]
+    return rows.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
+
+
+def _chained(start: str) -> Callable[[], Callable[[Any, list], tuple]]:
+    def fold() -> Callable[[Any, list], tuple]:
+        prev = start
+
+        def step(_, row: list) -> tuple:
+            nonlocal prev
+            entry, ts, case_id, op, detail = row
+            parts = (prev, ts, "None" if case_id is None else str(case_id), op, detail)
+            prev = hashlib.sha256("|".join(x for x in parts if x is not None).encode()).hexdigest()
+            return entry, prev
 
-    listed = entries.groupBy(chain).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return listed.select(chain, F.explode(F.aggregate("rows", start, add)).alias("e")).select(chain, "e.id", "e.hash")
+        return step
+
+    return fold
+
+
+def build_chain(entries: DataFrame, chain: str = "chain", start: str = GENESIS) -> DataFrame:
+    """(chain, id, hash) for entries (chain, id, ts, case_id, op, detail); ``start`` is the hash before the first.
+
+    Each hash needs the one before, so a chain is a fold over its ordered entries; chains run in parallel.
+    """
+    kind = entries.schema[chain].dataType.simpleString()
+    rows = entries.select(chain, F.col("id").cast("long").alias("id"), "ts", "case_id", "op", "detail")
+    return in_order(rows, chain, ["id"], _chained(start), f"{chain} {kind}, id long, hash string")
 
 
 def verify_chain(entries: DataFrame, chain: str = "chain") -> DataFrame:
@@ -54,29 +92,28 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     locked for 60 s, doubling up to 900 s; attempts during a lock are refused and not counted; a success
     clears the counter. What an attempt does depends on all before it, hence a fold per login.
     """
-    start = F.struct(
-        F.lit(0).alias("failed"), F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("until"),
-        F.array().cast("array<struct<ts:bigint,outcome:string,failed:int>>").alias("out"),
-    )
-
-    def state(s: Column, failed: Column, last: Column, until: Column, ts: Column, outcome: str) -> Column:
-        row = F.struct(ts.alias("ts"), F.lit(outcome).alias("outcome"), failed.alias("failed"))
-        return F.struct(failed.alias("failed"), last.alias("last"), until.alias("until"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    def add(s: Column, a: Column) -> Column:
-        ts = a["ts"]
-        failed = F.when(s["last"].isNotNull() & (ts - s["last"] <= IDLE), s["failed"] + 1).otherwise(1).cast("int")
-        length = F.least(F.lit(LOCK_MOST), F.lit(LOCK_BASE) * F.pow(F.lit(2.0), F.least(failed - LOCK_AFTER, F.lit(20)))).cast("long")
-        until = F.when(failed >= LOCK_AFTER, ts + length).otherwise(0).cast("long")
-        return (
-            F.when(ts < s["until"], state(s, s["failed"], s["last"], s["until"], ts, "refused"))
-            .when(a["ok"], state(s, F.lit(0), F.lit(None).cast("long"), F.lit(0).cast("long"), ts, "success"))
-            .otherwise(state(s, failed, ts, until, ts, "failure"))
-        )
-
-    listed = attempts.groupBy("login").agg(F.array_sort(F.collect_list(F.struct("ts", "ok"))).alias("rows"))
-    out = listed.select("login", F.explode(F.aggregate("rows", start, add, lambda s: s["out"])).alias("o"))
-    return out.select("login", "o.ts", "o.outcome", "o.failed")
+    kind = attempts.schema["login"].dataType.simpleString()
+    rows = attempts.select("login", F.col("ts").cast("long").alias("ts"), "ok")
+    return in_order(rows, "login", ["ts", "ok"], _throttled, f"login {kind}, ts long, outcome string, failed int")
+
+
+def _throttled() -> Callable[[Any, list], tuple]:
+    failed, last, until = 0, None, 0
+
+    def step(_, row: list) -> tuple:
+        nonlocal failed, last, until
+        ts, ok = row
+        if ts < until:
+            return ts, "refused", failed
+        if ok:
+            failed, last, until = 0, None, 0
+            return ts, "success", failed
+        failed = failed + 1 if last is not None and ts - last <= IDLE else 1
+        last = ts
+        until = ts + min(LOCK_MOST, LOCK_BASE * 2 ** min(failed - LOCK_AFTER, 20)) if failed >= LOCK_AFTER else 0
+        return ts, "failure", failed
+
+    return step
 
 
 def keep_newest(rows: DataFrame, by: str | None, order: str, n: int) -> DataFrame:

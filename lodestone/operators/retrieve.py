@@ -7,8 +7,10 @@ questions' terms only, so the exploded corpus never meets the questions whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,32 +154,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest vectors of a stated, bounded set of query vectors.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """Exact nearest vectors of a stated set of query vectors; ties go to the smaller vec_id.
 
-    ``vectors``: (vec_id, embedding); ``queries``: (query_id, query). The queries travel to the vectors
-    in Arrow batches of one matrix product each; every partition keeps ``k`` rows a query.
+    ``vectors``: (vec_id, embedding); ``queries``: (query_id, query). Queries come to the driver ``block`` at a time and
+    travel to the vectors as one matrix, which bounds memory; every Arrow batch keeps ``k`` rows a query.
     """
-    asked = sorted((r[0], list(map(float, r[1]))) for r in queries.select("query_id", "query").collect())
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        ids = np.asarray([q for q, _ in asked])
-        matrix = np.asarray([v for _, v in asked], dtype=np.float64)
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            score = np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T
-            near = np.argsort(-score, axis=0, kind="stable")[: k + 1]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, len(near)),
-                    "vec_id": batch["vec_id"].to_numpy()[near.T.ravel()],
-                    "score": np.take_along_axis(score, near, axis=0).T.ravel(),
-                }
-            )
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")
+    spark = vectors.sparkSession
+
+    def against(held: Broadcast):
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import numpy as np
+
+            ids, matrix = held.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                vec = batch["vec_id"].to_numpy()
+                score = np.round(np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T, 6)
+                near = np.lexsort((np.broadcast_to(vec[:, None], score.shape), -score), axis=0)[: k + 1]
+                yield pd.DataFrame(
+                    {
+                        "query_id": np.repeat(ids, len(near)),
+                        "vec_id": vec[near.T.ravel()],
+                        "score": np.take_along_axis(score, near, axis=0).T.ravel(),
+                    }
+                )
+
+        return nearest
+
+    import numpy as np
+
+    schema = "query_id long, vec_id long, score double"
+    found, asked = spark.createDataFrame([], schema), queries.select("query_id", "query").toLocalIterator()
+    while rows := list(islice(asked, block)):
+        held = spark.sparkContext.broadcast((np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows], dtype=np.float64)))
+        found = found.unionByName(vectors.select("vec_id", "embedding").mapInPandas(against(held), schema))
     found = found.where("vec_id <> query_id").withColumn("score", F.round("score", 6))
     return top_k(found, "query_id", "score", k, "vec_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as txt
 from lodestone.registry import query
 from lodestone.session import table
+from lodestone.sources.files import WRONG_PAGE
 
 
 def _sql_replace(text: str, steps) -> str:
@@ -62,7 +63,7 @@ def backfill_report(spark, sf_dir):
 
 
 JUNK = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-MOJIBAKE = "¹³¿Ÿœæê¥£¯ŒÆÊ¶"
+MOJIBAKE = WRONG_PAGE
 
 
 @query(
@@ -189,12 +190,12 @@ def case_item_ids(spark, sf_dir):
 
 @query(
     "character_error_rate",
-    """SELECT item_id, round(levenshtein(substr(text, 1, 200), replace(substr(text, 1, 200), 'e', 'c'))::DOUBLE / length(substr(text, 1, 200)), 6) AS cer
+    """SELECT item_id, round(levenshtein(text, replace(text, 'e', 'c'))::DOUBLE / length(text), 6) AS cer
     FROM benchmark WHERE length(text) > 0""",
 )
 def character_error_rate(spark, sf_dir):
     """Edit distance of a damaged text to its reference, over the reference's length."""
-    ref = F.substring("text", 1, 200)
+    ref = F.col("text")
     damaged = F.replace(ref, F.lit("e"), F.lit("c"))
     return table(spark, sf_dir, "benchmark").where("length(text) > 0").select(
         "item_id", F.round(F.levenshtein(ref, damaged).cast("double") / F.length(ref), 6).alias("cer")

@@ -10,7 +10,7 @@ from lodestone.session import table
 
 SQL_MATERIAL = "strftime(ts, '%Y-%m-%dT%H:%M:%S'), CASE WHEN event_id % 10 = 0 THEN 'None' ELSE CAST(user_id AS VARCHAR) END, event_type, props"
 SQL_CHAIN = f"""WITH RECURSIVE o AS (SELECT event_id % 8 AS chain, event_id AS id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS n,
-    concat_ws('|', {SQL_MATERIAL}) AS material FROM events WHERE event_id < 2000),
+    concat_ws('|', {SQL_MATERIAL}) AS material FROM events),
   c AS (SELECT chain, id, n, sha256('|' || material) AS hash FROM o WHERE n = 1
     UNION ALL SELECT o.chain, o.id, o.n, sha256(c.hash || '|' || o.material) FROM c JOIN o ON o.chain = c.chain AND o.n = c.n + 1)"""
 
@@ -26,13 +26,19 @@ def _entries(spark, sf_dir):
     )
 
 
-@query("audit_chain_build")
+@query("audit_chain_build", SQL_CHAIN + " SELECT chain, id, hash FROM c")
 def audit_chain_build(spark, sf_dir):
     """Hash chains over all events; a chain is sequential, chains are not."""
     return ledger.build_chain(_entries(spark, sf_dir))
 
 
-@query("audit_chain_verify", "SELECT event_id % 8 AS chain, CAST(min(CASE WHEN event_id >= 104 AND event_id % 8 IN (0, 3) THEN event_id END) AS BIGINT) AS first_broken FROM events GROUP BY ALL")
+@query(
+    "audit_chain_verify",
+    SQL_CHAIN
+    + """, s AS (SELECT o.chain, o.id, c.hash, lag(c.hash, 1, '') OVER (PARTITION BY o.chain ORDER BY o.id) AS before,
+      o.material || CASE WHEN o.id IN (104, 107) THEN 'x' ELSE '' END AS material FROM o JOIN c USING (chain, id))
+    SELECT chain, CAST(min(CASE WHEN sha256(before || '|' || material) <> hash THEN id END) AS BIGINT) AS first_broken FROM s GROUP BY chain""",
+)
 def audit_chain_verify(spark, sf_dir):
     """The first broken entry of every chain, after one entry in two of the chains was changed."""
     entries = _entries(spark, sf_dir)
@@ -102,31 +108,46 @@ def retention_window(spark, sf_dir):
     return events.join(F.broadcast(newest), F.expr("ts >= newest - interval 14 days")).agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("lockouts")
+@query(
+    "lockouts",
+    """WITH RECURSIVE o AS (SELECT user_id AS login, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type = 'purchase' AS ok,
+      row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_type = 'purchase') AS n FROM events),
+    f AS (SELECT login, n, ts, CASE WHEN ok THEN 'success' ELSE 'failure' END AS outcome, CASE WHEN ok THEN 0 ELSE 1 END AS failed,
+        CASE WHEN ok THEN NULL ELSE ts END AS last, CAST(0 AS BIGINT) AS until FROM o WHERE n = 1
+      UNION ALL
+      SELECT login, n, ts, outcome, failed, CASE outcome WHEN 'refused' THEN last WHEN 'success' THEN NULL ELSE ts END,
+        CASE outcome WHEN 'refused' THEN until WHEN 'success' THEN 0
+          ELSE CASE WHEN failed >= 5 THEN ts + CAST(least(900, 60 * pow(2, least(failed - 5, 20))) AS BIGINT) ELSE 0 END END
+      FROM (SELECT o.login, o.n, o.ts, f.last, f.until,
+          CASE WHEN o.ts < f.until THEN 'refused' WHEN o.ok THEN 'success' ELSE 'failure' END AS outcome,
+          CASE WHEN o.ts < f.until THEN f.failed WHEN o.ok THEN 0 WHEN f.last IS NOT NULL AND o.ts - f.last <= 1800 THEN f.failed + 1 ELSE 1 END AS failed
+        FROM f JOIN o ON o.login = f.login AND o.n = f.n + 1))
+    SELECT login, ts, outcome, CAST(failed AS INT) AS failed FROM f""",
+)
 def lockouts(spark, sf_dir):
     """Login throttling over errors as failed attempts: what an attempt does depends on all before it."""
     attempts = table(spark, sf_dir, "events").select(
-        F.pmod("user_id", F.lit(5)).alias("login"), F.unix_timestamp("ts").alias("ts"), (F.col("event_type") == "purchase").alias("ok")
+        F.col("user_id").alias("login"), F.unix_timestamp("ts").alias("ts"), (F.col("event_type") == "purchase").alias("ok")
     )
     return ledger.lockouts(attempts)
 
 
 @query(
     "failure_sessions",
-    """WITH f AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 14400 THEN 0 ELSE 1 END AS new_one
+    """WITH f AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800 THEN 0 ELSE 1 END AS new_one
       FROM events WHERE event_type = 'error'),
     s AS (SELECT user_id, ts, sum(new_one) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM f)
     SELECT user_id, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS failures FROM s GROUP BY ALL""",
 )
 def failure_sessions(spark, sf_dir):
-    """Failures grouped by gaps of at most four hours."""
+    """Failures grouped by gaps of at most half an hour."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     failed = table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "ts", "event_id")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     gap = seconds - F.lag(seconds).over(order)
-    marked = failed.withColumn("new_one", F.when(gap <= 14400, 0).otherwise(1))
+    marked = failed.withColumn("new_one", F.when(gap <= 1800, 0).otherwise(1))
     sessions = marked.withColumn("session", F.sum("new_one").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return sessions.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("failures"))
 

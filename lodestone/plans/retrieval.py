@@ -117,14 +117,14 @@ def rrf_fusion(spark, sf_dir):
     "vector_topk",
     """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id,
         round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+        FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
     SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def vector_topk(spark, sf_dir):
-    """The ten nearest vectors of every fiftieth vector."""
+    """The ten nearest vectors of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieve.vector_top_k(vectors, asked, 10).select("query_id", "vec_id", "score", "rank")
 
 

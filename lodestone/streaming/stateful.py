@@ -84,27 +84,21 @@ def throttle(attempts: DataFrame) -> DataFrame:
 def append_chain(spark: SparkSession, table_path: str):
     """A ``foreachBatch`` writer that continues one hash chain: the only writer of its table.
 
-    The last hash is one row; a batch's entries are folded in order from it.
+    Every row carries its batch's number; a batch that is delivered again is left out. The last hash is one row; a
+    batch's entries are folded in order from it.
     """
-    from lodestone.operators.ledger import link_hash
+    from lodestone.operators.ledger import GENESIS, build_chain
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         try:
-            tail = spark.read.parquet(table_path).agg(F.max_by("hash", "id")).first()[0]
+            newest = spark.read.parquet(table_path).agg(F.max("batch_id"), F.max_by("hash", "id")).first()
         except Exception as e:  # the table does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            tail = None
-        start = F.array(F.struct(F.lit(None).cast("long").alias("id"), F.lit(tail or "").alias("hash")))
-        rows = F.array_sort(F.collect_list(F.struct("id", "ts", "case_id", "op", "detail")))
-
-        def add(done, e):
-            prev = F.get(done, F.size(done) - 1)["hash"]
-            return F.concat(done, F.array(F.struct(e["id"].alias("id"), link_hash(prev, e["ts"], e["case_id"], e["op"], e["detail"]).alias("hash"))))
-
-        hashes = batch.agg(rows.alias("rows")).select(F.explode(F.aggregate("rows", start, add)).alias("e")).select("e.id", "e.hash").where("id is not null")
-        batch.join(hashes, "id").write.mode("append").parquet(table_path)
+            newest = (None, None)
+        if (newest[0] is not None and newest[0] >= batch_id) or batch.isEmpty():
+            return
+        hashes = build_chain(batch.withColumn("chain", F.lit(0)), start=newest[1] or GENESIS).drop("chain")
+        batch.join(hashes, "id").withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(table_path)
 
     return write

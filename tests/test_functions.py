@@ -145,16 +145,58 @@ def test_budgeted_selection(spark):
     assert out == [(0, 1, 1), (10, 2, 0), (20, 3, 1), (40, 4, 1)]
 
 
-def test_loaders():
-    assert files.load("a.txt", "zażółć gęślą jaźń, i tak dalej".encode("cp1250"))[0].startswith("zażółć")
-    assert files.load("a.rtf", rb"{\rtf1 Za\'bf\'f3\'b3\'e6\par next}")[0] == "Zażółć\nnext"
+def word_document(text):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        paragraphs = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in text.split("|"))
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{paragraphs}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_loaders(spark):
     content = rb"BT /F1 12 Tf 10 700 Td (Hello \(PDF\)) Tj 0 -14 Td [(wor) -20 (ld)] TJ ET"
-    pdf = b"%PDF-1.4\n1 0 obj << /Length 1 >>\nstream\n" + content + b"\nendstream\nendobj\n"
-    assert files.load("a.pdf", pdf)[0] == "Hello (PDF)\nworld"
-    for name, data in (("a.pdf", b"%PDF /Encrypt 1 0 R"), ("a.exe", b"x"), ("a.txt", b""), ("a.docx", b"no zip"), ("a.txt", b"\x01\x02\x03ab")):
-        with pytest.raises(files.LoadError):
-            files.load(name, data)
-    assert files.repair_code_page("zaż".encode("cp1250").decode("cp1252") * 40) == ("zaż" * 40, True)
+    pdf = lambda stream: b"%PDF-1.4\n1 0 obj << /Length 1 >>\nstream\n" + stream + b"\nendstream\nendobj\n"
+    wrong_page = ("zaż" * 40).encode("cp1250").decode("cp1252").encode()
+    rows = {
+        "a.txt": "zażółć gęślą jaźń, i tak dalej".encode("cp1250"), "a.rtf": rb"{\rtf1 Za\'bf\'f3\'b3\'e6\par next}", "a.pdf": pdf(content),
+        "a.docx": word_document("one|two"), "page.txt": wrong_page, "order.md": b"a  b\r\nhyphen-\nated\n\n\n\nend ",
+        "locked.pdf": b"%PDF /Encrypt 1 0 R", "a.exe": b"x", "empty.txt": b"", "no.docx": b"no zip", "junk.txt": b"\x01\x02\x03ab",
+        "bad.pdf": pdf(b"BT 1.2.3 4.5.6 Td (x) Tj ET"), "scan.pdf": b"%PDF-1.4 nothing here",
+    }
+    frame = spark.createDataFrame([(f"/d/{n}", bytearray(d)) for n, d in rows.items()], "path string, content binary")
+    out = {r["name"]: r for r in files.load_files(frame).collect()}
+    assert len(out) == len(rows)
+    assert out["a.txt"]["text"].startswith("zażółć") and out["a.txt"]["warnings"] == ["few characters"]
+    assert out["a.rtf"]["text"] == "Zażółć\nnext" and out["a.pdf"]["text"] == "Hello (PDF)\nworld" and out["a.docx"]["text"] == "one\n\ntwo"
+    assert out["page.txt"]["text"] == "zaż" * 40 and "code page repaired" in out["page.txt"]["warnings"]
+    assert out["order.md"]["text"] == "a b\nhyphenated\n\nend"
+    assert out["scan.pdf"]["needs_ocr"] and out["scan.pdf"]["error"] is None
+    for name in ("locked.pdf", "a.exe", "empty.txt", "no.docx", "junk.txt", "bad.pdf"):
+        assert out[name]["error"] and out[name]["text"] is None, name
+
+
+def test_code_page_is_kept_where_the_repair_is_not_better(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "plain", "zażółć", "costs £5 and £6 £7 £8", "¹ 中" * 30, "za¿" * 30]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", files.repair_code_page(F.col("t")).alias("r")).collect()
+    assert [r["r"]["repaired"] for r in found][:3] == [False] * 3 and not found[4]["r"]["repaired"]
+    assert found[5]["r"]["text"] == "zaż" * 30 and all(r["r"]["text"] == r["t"] for r in found if not r["r"]["repaired"])
+
+
+def test_fragments_cut_at_the_preferred_mark():
+    text = ("word " * 30 + ".\n" + "more " * 20 + "\n\n" + "x" * 400 + ". " + "y" * 900 + "\n") * 4
+    for size, overlap in ((1400, 250), (300, 50), (40, 39), (7, 3)):
+        spans = txt.fragment_spans(text, size, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(b - a <= size for a, b in spans)
+        for (a, b), (c, _) in zip(spans, spans[1:]):
+            assert c == max(a + 1, b - overlap)
+            cuts = [text.rfind(m, a, a + size) + len(m) for m in txt.CUTS if text.rfind(m, a, a + size) - a > size / 2]
+            assert b == (cuts[0] if cuts else a + size)
 
 
 def test_rules_are_read_strictly():
