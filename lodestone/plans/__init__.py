@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational")
+MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational", "answers")
 
 
 def load() -> None:
