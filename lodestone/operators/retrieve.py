@@ -14,24 +14,43 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import content_words, stem, tokens
+from lodestone.session import materialised
 
 K1, B = 1.5, 0.75
 
 
-def term_frequencies(units: DataFrame, unit: str, text: str = "text", lang: Column | str | None = None) -> DataFrame:
-    """(unit, term, tf, unit_len): one row for each distinct term of a unit."""
-    listed = units.select(F.col(unit), tokens(F.col(text), lang).alias("terms"))
-    return (
-        listed.select(unit, F.size("terms").alias("unit_len"), F.explode("terms").alias("term"))
-        .groupBy(unit, "term")
+def word_counts(units: DataFrame, unit: str, text: str = "text", lang: Column | str | None = None) -> DataFrame:
+    """(unit, word, tf, unit_len): content words as they stand, counted in each unit; a table, for its several readers."""
+    listed = units.select(F.col(unit), content_words(F.col(text), lang).alias("words"))
+    counted = (
+        listed.select(unit, F.size("words").alias("unit_len"), F.explode("words").alias("word"))
+        .groupBy(unit, "word")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("unit_len").cast("long").alias("unit_len"))
     )
+    return materialised(counted, "word-counts")
+
+
+def stemmed(counted: DataFrame, unit: str, only: DataFrame | None = None) -> DataFrame:
+    """(unit, term, tf, unit_len) from ``word_counts``, of the terms of ``only`` (term) if given.
+
+    Each distinct word is stemmed once; the few words that lead to asked terms then meet the counts, which stay where
+    they are as long as those words fit a broadcast.
+    """
+    vocabulary = counted.select("word").distinct().select("word", stem(F.col("word")).alias("term"))
+    if only is not None:
+        vocabulary = vocabulary.join(only, "term", "left_semi")
+    return counted.join(vocabulary, "word").groupBy(unit, "term").agg(F.sum("tf").alias("tf"), F.first("unit_len").alias("unit_len"))
+
+
+def term_frequencies(units: DataFrame, unit: str, text: str = "text", lang: Column | str | None = None) -> DataFrame:
+    """(unit, term, tf, unit_len): one row for each distinct term of a unit."""
+    return stemmed(word_counts(units, unit, text, lang), unit)
 
 
 def corpus_stats(units: DataFrame, text: str = "text", lang: Column | str | None = None) -> DataFrame:
     """One row (n_units, avg_len) over all units, those without terms included."""
-    return units.select(F.size(tokens(F.col(text), lang)).alias("n")).agg(
+    return units.select(F.size(content_words(F.col(text), lang)).alias("n")).agg(
         F.count(F.lit(1)).alias("n_units"), F.avg("n").alias("avg_len")
     )
 
@@ -46,17 +65,20 @@ def bm25(units: DataFrame, unit: str, questions: DataFrame, question: str, lang:
         .groupBy(question, "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    tf = term_frequencies(units, unit, lang=lang).join(asked.select("term").distinct(), "term", "left_semi")
+    counted = word_counts(units, unit, lang=lang)
+    tf = materialised(stemmed(counted, unit, asked.select("term").distinct()), "postings")
+    # One row: all units, those without terms included, and the mean number of their words.
+    size = counted.agg(F.sum("tf").alias("words")).join(units.agg(F.count(F.lit(1)).alias("n_units")))
+    size = size.select("n_units", (F.coalesce("words", F.lit(0)) / F.greatest("n_units", F.lit(1))).alias("avg_len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg = F.col("n_units"), F.col("avg_len")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("unit_len") / F.when(avg > 0, avg).otherwise(1.0)
     gain = F.col("times") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
-    # corpus_stats is one row: broadcasting it attaches two constants.
     return (
         asked.join(df, "term")
         .join(tf, "term")
-        .join(F.broadcast(corpus_stats(units, lang=lang)))
+        .join(F.broadcast(size))
         .groupBy(question, unit)
         .agg(F.round(F.sum(gain), 6).alias("score"))
         .where("score > 0")

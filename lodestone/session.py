@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +37,29 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "lodesto
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path is only ever opened by Spark's reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where the setting is absent a temporary folder is made, but only for a local master: on a cluster the executors
+    could not see it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = f"file://{path}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: what several branches of a plan need is made once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
