@@ -19,6 +19,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "op8_toxicity": ("toxicity", None),
     "op9_line_dedup": ("line_dedup", None),
     "op10_url_filters": ("url_filter", "OP10_SQL"),
+    "op11_fill_middle": ("fill_middle", "OP11_SQL"),
+    "op12_neighbours": ("neighbours", None),
+    "op13_lexical": ("lexical", "OP13_SQL"),
 }
 
 
