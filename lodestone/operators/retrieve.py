@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_words, stem, tokens
+from lodestone.operators.ledger import in_order
 from lodestone.session import materialised
 
 K1, B = 1.5, 0.75
@@ -114,7 +115,54 @@ def first_appearance(ranked: DataFrame, by: str, group: str, k: int, rank: str =
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-SELECTED = "question_id long, doc_id string, start int, number int, phase int"
+def sentence_ranks(
+    chosen: DataFrame, sentences: DataFrame, questions: DataFrame, lang: Column | str | None = None, most: int = 120
+) -> DataFrame:
+    """(question_id, doc_id, position, rank): the ``most`` best sentences of each question's own documents.
+
+    ``chosen``: (question_id, doc_id), ``sentences``: (doc_id, position, text), ``questions``: (question_id, text). The corpus of a
+    question is the sentences of its documents: their number, mean length and document frequencies differ from question to
+    question, and are sums over documents that were counted once.
+    """
+    asked = questions.select("question_id", F.explode(tokens(F.col("text"), lang)).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    counted = word_counts(sentences.select(F.struct("doc_id", "position").alias("unit"), "text"), "unit", lang=lang)
+    tf = stemmed(counted, "unit", asked.select("term").distinct()).select("unit.doc_id", "unit.position", "term", "tf", "unit_len")
+    words = counted.groupBy("unit.doc_id").agg(F.sum("tf").alias("words"))
+    sizes = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units")).join(words, "doc_id", "left")
+    sizes = chosen.join(sizes, "doc_id").groupBy("question_id").agg(F.sum("units").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    hits = materialised(asked.join(chosen, "question_id").join(tf, ["doc_id", "term"]), "sentence-hits")
+    df = hits.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    n, avg = F.col("n"), F.col("words") / F.col("n")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = 1 - B + B * F.col("unit_len") / F.when(avg > 0, avg).otherwise(1.0)
+    gain = F.col("times") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
+    scored = hits.join(df, ["question_id", "term"]).join(sizes, "question_id").groupBy("question_id", "doc_id", "position").agg(F.round(F.sum(gain), 6).alias("score"))
+    return top_k(scored.where("score > 0"), "question_id", "score", most, "doc_id", "position").drop("score")
+
+
+_TURNS = ((0, 0), (1, -1), (1, 1), (2, -2), (2, 2))
+
+
+def _budgeted(budget: int):
+    """The fold of ``select_sentences`` over one question's requests: what it holds is bounded by the budget."""
+
+    def fold():
+        used, full, taken = 0, False, set()
+
+        def step(_, row: list) -> tuple:
+            nonlocal used, full
+            phase, turn, side, doc_id, start, cost = row
+            late = bool(taken) and used + cost > budget
+            full = full or (late and phase == 0 and (doc_id, start) not in taken)
+            if late or (full and phase == 0) or (doc_id, start) in taken:
+                return doc_id, start, phase, False
+            taken.add((doc_id, start))
+            used += cost
+            return doc_id, start, phase, True
+
+        return step
+
+    return fold
 
 
 def select_sentences(candidates: DataFrame, budget: int = 9000, most_anchors: int = 120, overhead: int = 6) -> DataFrame:
@@ -123,52 +171,25 @@ def select_sentences(candidates: DataFrame, budget: int = 9000, most_anchors: in
     ``candidates``: (question_id, doc_id, position, start, size, by_value, rank) for every sentence of a
     question's documents; ``by_value`` marks a shared value anchor, ``rank`` is the BM25 rank or null.
     Anchors stop at the first that overflows; neighbours (one step around every anchor, then two) are
-    skipped one by one. Without any anchor the first six sentences stand in. The walk depends on what was
-    taken before, so it is a fold over one question's candidates at a time.
+    skipped one by one. Without any anchor the first six sentences stand in. Anchors and neighbours are requests in
+    order; the walk depends on what was taken before, so it is a fold that streams over a question's requests.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"]).reset_index(drop=True)
-        key = {(d, p): i for i, (d, p) in enumerate(zip(rows["doc_id"], rows["position"], strict=True))}
-        valued = rows.index[rows["by_value"]].tolist()
-        ranked = rows[rows["rank"].notna()].sort_values("rank").index.tolist()[:most_anchors]
-        anchors = valued + ranked if ranked else valued or rows.index[:6].tolist()
-        used, taken = 0, {}
-
-        def take(i: int, phase: int) -> bool:
-            nonlocal used
-            cost = int(rows.at[i, "size"]) + overhead
-            if i in taken:
-                return True
-            if taken and used + cost > budget:
-                return False
-            taken[i] = phase
-            used += cost
-            return True
-
-        for i in anchors:
-            if not take(i, 0):
-                break
-        for step in (1, 2):
-            if used >= budget:
-                break
-            for i in anchors:
-                for near in (-step, step):
-                    j = key.get((rows.at[i, "doc_id"], rows.at[i, "position"] + near))
-                    if j is not None:
-                        take(j, step)
-        kept = sorted(taken)
-        return pd.DataFrame(
-            {
-                "question_id": rows.loc[kept, "question_id"],
-                "doc_id": rows.loc[kept, "doc_id"],
-                "start": rows.loc[kept, "start"],
-                "number": range(1, len(kept) + 1),
-                "phase": [taken[i] for i in kept],
-            }
-        )
-
-    return candidates.groupBy("question_id").applyInPandas(walk, SELECTED)
+    doc = candidates.schema["doc_id"].dataType.simpleString()
+    question = candidates.schema["question_id"].dataType.simpleString()
+    reading = Window.partitionBy("question_id").orderBy("doc_id", "start")
+    spot = ["question_id", "doc_id", "position"]
+    ranked = candidates.where(F.col("rank") <= most_anchors).select(*spot, F.lit(1).alias("kind"), F.col("rank").cast("long").alias("place"))
+    valued = candidates.where("by_value").withColumn("place", F.row_number().over(reading).cast("long")).select(*spot, F.lit(0).alias("kind"), "place")
+    first = candidates.withColumn("place", F.row_number().over(reading).cast("long")).where("place <= 6").select(*spot, F.lit(2).alias("kind"), "place")
+    found = ranked.unionByName(valued)
+    anchors = found.unionByName(first.join(found.select("question_id").distinct(), "question_id", "left_anti"))
+    turns = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(k).alias("side"), F.lit(d).alias("delta")) for k, (p, d) in enumerate(_TURNS)])
+    requests = anchors.withColumn("turn", F.col("kind") * F.lit(1 << 40) + F.col("place")).select(*spot, "turn", F.explode(turns).alias("x"))
+    requests = requests.select("question_id", "doc_id", (F.col("position") + F.col("x.delta")).alias("position"), "turn", "x.phase", "x.side")
+    requests = requests.join(candidates.select(*spot, "start", (F.col("size") + overhead).alias("cost")), spot)
+    requests = requests.select("question_id", "phase", "turn", "side", "doc_id", "start", "cost")
+    folded = in_order(requests, "question_id", ["phase", "turn", "side"], _budgeted(budget), f"question_id {question}, doc_id {doc}, start int, phase int, taken boolean")
+    return folded.where("taken").select("question_id", "doc_id", "start", F.row_number().over(reading).alias("number"), "phase")
 
 
 def cosine(a: Column, b: Column) -> Column:

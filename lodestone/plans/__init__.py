@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational", "answers")
+MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational", "answers", "case")
 
 
 def load() -> None:

@@ -161,27 +161,6 @@ def narrowed_documents(spark, sf_dir):
     return fast.unionByName(more)
 
 
-@query(
-    "chosen_documents",
-    """WITH q AS (SELECT o_orderkey AS question_id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 20 = 0),
-    e AS (SELECT question_id, o_custkey AS doc_id, min(o_orderkey) AS position FROM q JOIN orders ON CAST(o_orderdate AS DATE) = d GROUP BY ALL),
-    ep AS (SELECT *, 0 AS phase, row_number() OVER (PARTITION BY question_id ORDER BY position) AS place FROM e QUALIFY place <= 5),
-    s AS (SELECT o_custkey AS doc_id, o_totalprice AS score, o_orderkey AS position FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40),
-    b AS (SELECT doc_id, min(struct_pack(a := -score, b := position)) AS best FROM s GROUP BY doc_id),
-    lp AS (SELECT question_id, doc_id, 1 AS phase, row_number() OVER (PARTITION BY question_id ORDER BY best) AS place FROM q CROSS JOIN b QUALIFY place <= 10),
-    o AS (SELECT question_id, doc_id, min(struct_pack(a := phase, b := place)) AS spot FROM (SELECT question_id, doc_id, phase, place FROM ep UNION ALL SELECT * FROM lp) GROUP BY ALL)
-    SELECT question_id, doc_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY spot) AS INT) AS rank FROM o QUALIFY rank <= 5""",
-)
-def chosen_documents(spark, sf_dir):
-    """Documents that hold a question's date first, then the best scored ones; the forty best fragments stand for a ranking."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("position"), F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("score"))
-    asked = orders.where("position % 20 = 0").select(F.col("position").alias("question_id"), "d")
-    by_value = asked.join(orders, "d").select("question_id", "doc_id", "position")
-    best = orders.orderBy(F.desc("score"), "position").limit(40).select("doc_id", "score", "position")
-    by_score = asked.select("question_id").crossJoin(F.broadcast(best))  # forty rows a question: the ranking of each
-    return answer.chosen_documents(by_value, by_score, 5)
-
-
 @query(
     "renumbered_picks",
     """WITH c AS (SELECT l_orderkey, l_linenumber AS call, CAST(sum(l_quantity) AS BIGINT) AS shown, min(l_partkey % 5) + 1 AS number FROM lineitem GROUP BY ALL)
@@ -289,24 +268,6 @@ def support_summary(spark, sf_dir):
     )
 
 
-@query(
-    "escalation_gate",
-    """SELECT o.o_orderkey, o.o_orderkey % 4 = 0 OR EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey <> o.o_orderkey
-      AND CAST(p.o_orderdate AS DATE) = CAST(o.o_orderdate AS DATE)) AS escalate FROM orders o""",
-)
-def escalation_gate(spark, sf_dir):
-    """Whether reading on may help: some other document of the case holds the question's date, or it names none."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
-    held = orders.groupBy("o_custkey", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return orders.join(held, ["o_custkey", "d"], "left").select("o_orderkey", ((F.col("o_orderkey") % 4 == 0) | F.col("n").isNotNull()).alias("escalate"))
-
-
-@query("any_pick_anchored", "SELECT l_orderkey, bool_or(l_quantity > 45) AS anchored FROM lineitem GROUP BY l_orderkey")
-def any_pick_anchored(spark, sf_dir):
-    """Whether any pick of a question is anchored; where none is, the escalation starts."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") > 45).alias("anchored"))
-
-
 ANCHOR = "the"
 
 
