@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import answer
+from lodestone.operators import answer, contain
 from lodestone.registry import query
 from lodestone.session import table
 
@@ -190,19 +190,27 @@ def grounded_conclusions(spark, sf_dir):
     )
 
 
+SQL_QUOTED = """q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN translate(replace(text, ' ', '  '), 'aeiou', 'AEIOU') WHEN 2 THEN replace(text, ' ', chr(10)) ELSE 'Section ' || text END AS quoted FROM benchmark)"""
+
+
 @query(
     "statute_match",
-    """WITH q AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'zz' ELSE lower(substr(n_name, 2, 3)) END AS quoted FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    SELECT c_custkey, quoted, (SELECT min(n_nationkey) FROM nation WHERE contains(lower(n_name), quoted)) AS statute FROM q""",
+    f"""WITH {SQL_QUOTED}, d AS (SELECT doc_id, text, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS form FROM documents),
+    f AS (SELECT item_id, min(doc_id) AS statute FROM q JOIN d ON contains(form, lower(trim(regexp_replace(quoted, '\\s+', ' ', 'g')))) WHERE trim(quoted) <> '' GROUP BY item_id)
+    SELECT q.item_id, quoted, statute, CAST(strpos(d.text, b.text) - 1 AS INT) AS start, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS INT) AS "end"
+    FROM q JOIN benchmark b USING (item_id) LEFT JOIN f USING (item_id) LEFT JOIN d ON d.doc_id = f.statute""",
 )
 def statute_match(spark, sf_dir):
-    """The first statute whose text holds the quoted words; each distinct quotation is looked up once."""
-    nation = table(spark, sf_dir, "nation")
-    quoted = F.when(F.col("c_custkey") % 10 == 0, "zz").otherwise(F.lower(F.substring("n_name", 2, 3)))
-    asked = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", quoted.alias("quoted"))
-    texts = nation.select(F.col("n_nationkey").alias("statute"), F.lower("n_name").alias("name"))
-    found = asked.select("quoted").distinct().join(texts, F.contains("name", "quoted")).groupBy("quoted").agg(F.min("statute").alias("statute"))
-    return asked.join(found, "quoted", "left").select("c_custkey", "quoted", "statute")
+    """The first text that holds the quoted words, whatever their white space and case, and where; a legal basis without one is refused."""
+    form = F.pmod("item_id", F.lit(4))
+    quoted = (
+        F.when(form == 0, F.col("text")).when(form == 1, F.translate(F.replace("text", F.lit(" "), F.lit("  ")), "aeiou", "AEIOU"))
+        .when(form == 2, F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.concat(F.lit("Section "), "text"))
+    )
+    asked = table(spark, sf_dir, "benchmark").select("item_id", quoted.alias("quoted"))
+    found = contain.first_occurrence(table(spark, sf_dir, "documents").select("doc_id", "text"), asked.withColumnRenamed("item_id", "quote_id"))
+    first = found.groupBy(F.col("quote_id").alias("item_id")).agg(F.min(F.struct("doc_id", "start", "end")).alias("at"))
+    return asked.join(first, "item_id", "left").select("item_id", "quoted", F.col("at.doc_id").alias("statute"), "at.start", "at.end")
 
 
 @query(

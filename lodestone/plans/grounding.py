@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import anchors
 from lodestone.functions import text as txt
-from lodestone.operators import verify
+from lodestone.operators import contain, verify
 from lodestone.plans.retrieval import sql_tokens
 from lodestone.registry import query
 from lodestone.session import table
@@ -158,27 +158,18 @@ v AS (SELECT item_id, doc_id, idx, CASE WHEN src IS NULL THEN 'no_document' WHEN
 
 
 def _cited(spark, sf_dir):
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # Containment without a nested loop over all pairs: questions are a small stated set, and a rare word of each
-    # passage (its longest) must occur in the document before the text itself is searched.
-    longest_first = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    words = lambda c: F.array_distinct(F.split(c, r"\s+"))
-    parts = F.split("passage", r"\s+")
-    whole = F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))  # words with space on both sides
-    items = items.where("length(text) > 0").select("item_id", F.col("text").alias("passage"))
-    keyed = items.withColumn("word", F.get(F.array_sort(whole, longest_first), F.lit(0)))
-    exploded = docs.select("doc_id", "text", F.explode(words(F.col("text"))).alias("word"))
-    ids = exploded.join(keyed.where("word is not null").select("word", "item_id", "passage"), "word").where(F.contains("text", "passage"))
-    short = docs.select("doc_id", "text").join(F.broadcast(keyed.where("word is null").drop("word")), F.contains("text", "passage"))
-    pairs = ids.select("item_id", "doc_id", "text", "passage").unionByName(short.select("item_id", "doc_id", "text", "passage"))
-    kind, at, size = F.pmod(F.col("item_id") + F.col("doc_id"), F.lit(6)), F.instr("text", F.col("passage")) - 1, F.length("passage")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    found = contain.first_occurrence(docs, items.select(F.col("item_id").alias("quote_id"), F.col("passage").alias("quoted")), tolerant=False)
+    pairs = found.join(items, found["quote_id"] == items["item_id"]).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
+    kind, at, size = F.pmod(F.col("item_id") + F.col("doc_id"), F.lit(6)), F.col("start"), F.length("passage")
     return pairs.select(
         "item_id",
         F.when(kind == 4, F.lit(None)).otherwise(F.col("doc_id")).alias("cited_id"),
         "doc_id",
         kind.cast("int").alias("idx"),
         F.when(kind == 1, at + 1).when(kind == 3, -1).otherwise(at).alias("start"),
-        F.when(kind == 3, 10).when(kind == 5, F.length("text") + 5).otherwise(at + size).alias("end"),
+        F.when(kind == 3, 10).when(kind == 5, F.col("n") + 5).otherwise(at + size).alias("end"),
         F.when(kind == 2, F.replace(F.col("passage"), F.lit("e"), F.lit("E"))).otherwise(F.col("passage")).alias("quoted"),
     )
 
@@ -221,10 +212,9 @@ def citation_accuracy(spark, sf_dir):
 def passage_locate(spark, sf_dir):
     """Where a passage stands in the original, though it was quoted with other white space and case."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    quoted = _cited(spark, sf_dir).select("item_id", "doc_id", "quoted").join(docs, "doc_id")
-    altered = F.lower(F.regexp_replace("quoted", " ", " \n "))
-    found = verify.locate_tolerant(F.col("text"), altered)
-    return quoted.withColumn("found", found).select("item_id", "doc_id", "found.start", "found.end")
+    altered = F.lower(F.regexp_replace("text", " ", " \n "))
+    quoted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), altered.alias("quoted"))
+    return contain.first_occurrence(docs, quoted).withColumnRenamed("quote_id", "item_id")
 
 
 @query(
