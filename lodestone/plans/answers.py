@@ -276,25 +276,6 @@ def support_summary(spark, sf_dir):
     )
 
 
-ANCHOR = "the"
-
-
-@query(
-    "anchor_occurrences",
-    f"""WITH s AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '{ANCHOR} ')) AS piece, generate_subscripts(string_split(text, '{ANCHOR} '), 1) AS i, len(string_split(text, '{ANCHOR} ')) AS k FROM documents),
-    p AS (SELECT doc_id, n, i, k, sum(length(piece) + {len(ANCHOR) + 1}) OVER (PARTITION BY doc_id ORDER BY i) - {len(ANCHOR) + 1} AS found FROM s)
-    SELECT doc_id, CAST(greatest(0, found - 100) AS BIGINT) AS start, CAST(least(n, found + {len(ANCHOR) + 1} + 400) AS BIGINT) AS "end" FROM p WHERE i < k""",
-)
-def anchor_occurrences(spark, sf_dir):
-    """Every literal occurrence of an anchor, with a margin before and after it."""
-    width = len(ANCHOR) + 1
-    pieces = F.split("text", f"{ANCHOR} ", -1)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.size(pieces).alias("k"), F.posexplode(pieces).alias("i", "piece"))
-    at = F.sum(F.length("piece") + width).over(Window.partitionBy("doc_id").orderBy("i")) - width
-    placed = rows.withColumn("at", at).where(F.col("i") + 1 < F.col("k"))
-    return placed.select("doc_id", F.greatest(F.lit(0), F.col("at") - 100).alias("start"), F.least(F.col("n"), F.col("at") + width + 400).cast("long").alias("end"))
-
-
 @query(
     "partial_context",
     f"""WITH {SQL_LINES}, c AS (SELECT * FROM s WHERE n % 4 = 1),
