@@ -72,6 +72,14 @@ def bm25(units: DataFrame, unit: str, questions: DataFrame, question: str, lang:
     size = counted.agg(F.sum("tf").alias("words")).join(units.agg(F.count(F.lit(1)).alias("n_units")))
     size = size.select("n_units", (F.coalesce("words", F.lit(0)) / F.greatest("n_units", F.lit(1))).alias("avg_len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return bm25_scores(asked, tf, df, size, question, unit)
+
+
+def bm25_scores(asked: DataFrame, tf: DataFrame, df: DataFrame, size: DataFrame, question: str, unit: str) -> DataFrame:
+    """(question, unit, score) from asked terms (question, term, times), postings (unit, term, tf, unit_len) and statistics.
+
+    ``df``: (term, df), ``size``: one row (n_units, avg_len).
+    """
     n, avg = F.col("n_units"), F.col("avg_len")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("unit_len") / F.when(avg > 0, avg).otherwise(1.0)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational", "answers", "case", "casebook")
+MODULES: tuple[str, ...] = ("retrieval", "cleaning", "grounding", "deadlines", "ledger", "evaluation", "relational", "answers", "case", "casebook", "state")
 
 
 def load() -> None:

@@ -213,17 +213,6 @@ def statute_match(spark, sf_dir):
     return asked.join(first, "item_id", "left").select("item_id", "quoted", F.col("at.doc_id").alias("statute"), "at.start", "at.end")
 
 
-@query(
-    "insert_documents",
-    "SELECT page_id, 'src' || (page_id % 30) AS case_id, EXISTS (SELECT 1 FROM documents WHERE source = 'src' || (page_id % 30)) AS accepted FROM pages",
-)
-def insert_documents(spark, sf_dir):
-    """New documents need a case that exists; the others are turned away."""
-    new = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("src"), F.col("page_id") % 30).alias("case_id"))
-    cases = table(spark, sf_dir, "documents").select(F.col("source").alias("case_id")).distinct().withColumn("accepted", F.lit(True))
-    return new.join(cases, "case_id", "left").select("page_id", "case_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-
-
 @query("clear_history", "SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 4 = 1 AND turn % 3 = 0)")
 def clear_history(spark, sf_dir):
     """Messages left after a case's own were cleared: those that belong to a document stay."""
