@@ -29,8 +29,7 @@ is joined to the scan first; where it fills up, more texts are shuffled and the
 
 Defined results: null, empty and white-space texts have no shingles, n_shingles 0, and link with nothing;
 texts under five words are one shingle; a text of any length is one set, hashed in pieces of bounded size;
-repeated rows appear each; a row without doc_id gets the component of the rows with equal shingles that have one,
-and null (linked with nothing) where there are none; other columns, whatever their names, play no part.
+repeated rows appear each; a row without doc_id links like any other, and its component is null where no row of it has one; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -44,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, probable_rows, scratch, unused
+from lodestone.llm.common import TEXT_BYTES, by_bytes, forget, probable_rows, scratch, unused
 from lodestone.llm.components import connected_components
 from lodestone.llm.shingles import _Powers, set_digest, shingle_sets
 
@@ -62,12 +61,13 @@ FAN_OUT = 8
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
-        sets = shingle_sets(batch.column("text"), powers)
-        d1, d2 = set_digest(sets)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2)],
-            names=["doc_id", "text_hash", "n", "sid", "sid2"],
-        )
+        for part in by_bytes(batch, "text", TEXT_BYTES):
+            sets = shingle_sets(part.column("text"), powers)
+            d1, d2 = set_digest(sets)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2)],
+                names=["doc_id", "text_hash", "n", "sid", "sid2"],
+            )
 
 
 def emitted_size(n: int) -> int:
@@ -83,21 +83,21 @@ def emitted_size(n: int) -> int:
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
-        sets = shingle_sets(batch.column("text"), powers)
-        ids = set_digest(sets)[0]
-        once = np.unique(ids, return_index=True)[1]
-        heads = [sets[i][: emitted_size(len(sets[i]))] for i in once]
-        sizes = [len(h) for h in heads]
-        keys, owners = np.concatenate(heads or [np.zeros(0, np.int64)]), np.repeat(ids[once], sizes)
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(owners[at : at + 100_000])], names=["key", "sid"])
+        for part in by_bytes(batch, "text", TEXT_BYTES):
+            sets = shingle_sets(part.column("text"), powers)
+            ids = set_digest(sets)[0]
+            once = np.unique(ids, return_index=True)[1]
+            heads = [sets[i][: emitted_size(len(sets[i]))] for i in once]
+            sizes = [len(h) for h in heads]
+            keys, owners = np.concatenate(heads or [np.zeros(0, np.int64)]), np.repeat(ids[once], sizes)
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(owners[at : at + 100_000])], names=["key", "sid"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for part in by_bytes(batch, "text", TEXT_BYTES):
             sets = shingle_sets(part.column("text"), powers)
             right = np.flatnonzero(set_digest(sets)[0] == part.column("sid").to_numpy()).tolist()
             yield pa.RecordBatch.from_arrays(
@@ -374,8 +374,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, set_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = "doc_id long, text_hash long, n long, sid long, sid2 long"
-    rows = scratch(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_described, described), "shingle-sets")
-    sets = rows.where("n > 0").groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("rep"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = scratch(docs.mapInArrow(_described, described), "shingle-sets")
+    sets = rows.where("n > 0").groupBy("sid", "sid2", "n").agg(F.min("text_hash").alias("rep"))  # one of its texts
     only = (
         docs.select("text").mapInArrow(_emitted, "key long, sid long")
         .groupBy("key").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other")
@@ -383,10 +384,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     left = scratch(
         sets.join(only, "sid", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") / 4))
-        .where("rep is not null").select(F.col("rep").alias("doc_id"), "sid"),
+        .select(F.col("rep").alias("text_hash"), "sid"),
         "candidate-sets",
     )
-    texts = probable_rows(docs, "doc_id", left).join(left, "doc_id").select("doc_id", "sid", "text").distinct()
+    texts = probable_rows(docs.select("text_hash", "text"), "text_hash", left).join(left, "text_hash").select("sid", "text").distinct()
     arrays = scratch(texts.select("sid", "text").mapInArrow(_arrays, "sid long, n long, shingles array<long>"), "candidate-shingles")
     members = scratch(tokens(arrays), "candidate-tokens")
     forget(arrays)
@@ -422,7 +423,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, with their columns.
 
-    Equal rows all stay; rows without doc_id stay where no row with equal shingles has one.
+    Equal rows all stay; rows without doc_id stay where no row of their component has one.
     """
     own, text_hash = unused("kept_id", docs), unused("kept_hash", docs)
     kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()

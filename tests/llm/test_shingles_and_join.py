@@ -208,3 +208,13 @@ def test_clashing_columns_nulls_and_a_long_text(spark):
     kept = ngram_join.one_per_component(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 9, 9]
+
+
+def test_rows_without_id_bridge_components(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words[:50]), " ".join(words[5:55]), " ".join(words[10:60])
+    rows = [(1, a), (None, b), (9, c), (None, "only one of its kind here and nowhere else"), (4, "x y z")]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_text = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in found}
+    assert by_text[(1, 46)] == 1 and by_text[(9, 46)] == 1 and by_text[(None, 46)] == 1
+    assert by_text[(None, 5)] is None and by_text[(4, 1)] == 4
