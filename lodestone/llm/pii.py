@@ -12,8 +12,12 @@ keep their domain, phone numbers their country code.
 Everything is a DataFrame expression: a text is split at the matches, each match is replaced, and the pieces
 are joined. Only texts that hold a match are rebuilt.
 
-Defined results: a null text stays null; a text without matches is returned unchanged; a match that does not
-validate stays; repeated rows are treated each; all other columns pass through.
+Of a secret the name and the sign stay, with or without quotes around the name; values in quotes may hold blanks. A number after
+a plus sign without separators keeps its first three digits, which hold the country code.
+
+Defined results: a null or empty text stays as it is; a text of any length is searched whole, and a value of any length permuted
+whole; a text without matches is returned unchanged; a match that does not validate stays; repeated rows are treated
+each; an empty table gives no rows; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,14 +35,15 @@ ROUNDS = 8
 
 #: kind -> pattern, in the order they are tried at a position
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api_key|apikey)(?:\h*+|\s{0,3})[=:](?:\h*+|\s{0,3})(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{6,}+))",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+(?![A-Za-z0-9-])",
+    "secret": r"(?:(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<![^\W_])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[_-]\w++)*+[\"']?(?:\h*+|\s{0,3})"
+    r"(?:[=:](?:\h*+|\s{0,3})(?:\"[^\"\n]{3,}+\"|'[^'\n]{3,}+'|[\"']?[^\s\"']{6,}+)|=\h*+[^\s\"'=]{3,}+))",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "phone": r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])",
+    "phone": r"(?<![\w.+-])(?:\+[0-9]{9,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4})(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Length of the calendar's cycle, and the two radices its days are permuted in.
@@ -65,10 +70,13 @@ def _at(s: Column, i: Column) -> Column:
 
 def _add(half: Column, seed: Column) -> Column:
     """``half`` with a keyed amount added to every character, within its class."""
-    stream = F.concat(*[F.sha2(F.concat_ws("\x1f", seed, F.lit(str(k))), 256) for k in range(4)])
+    # 84 characters use up a block of the key stream; a longer half draws as many blocks as it takes.
+    block = lambda b: F.concat(*[F.sha2(F.concat_ws("\x1f", seed, (4 * b + k).cast("string")), 256) for k in range(4)])
+    stream = F.transform(F.sequence(F.lit(0), F.floor((F.length(half) - 1) / 84).cast("int")), block)
 
     def shifted(stream: Column, c: Column, i: Column) -> Column:
-        amount = F.conv(F.substring(stream, F.pmod(i * 3, F.lit(252)) + 1, F.lit(3)), 16, 10).cast("int")
+        own = F.get(stream, F.floor(i / 84).cast("int"))
+        amount = F.conv(F.substring(own, F.pmod(i, F.lit(84)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
 
         def within(first: str, size: int) -> Column:
             base = F.lit(ord(first))
@@ -261,7 +269,7 @@ def phone(s: Column, key: str) -> Column:
 
 
 def secret(s: Column, key: str) -> Column:
-    head = F.regexp_extract(s, r"^(AKIA|\w+[\s\h]*[=:][\s\h]*[\"']?)", 1)
+    head = F.regexp_extract(s, r"^(AKIA|[\w-]+[\"']?[\s\h]*[=:][\s\h]*[\"']?)", 1)
     return F.concat(head, permute_string(F.substring(s, F.length(head) + 1, F.length(s)), "secret", key))
 
 
