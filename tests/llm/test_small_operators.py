@@ -253,6 +253,30 @@ def test_long_and_spaced_secrets(spark):
     assert out[8] == rows[7][1]
 
 
+#: A line and what of it must not be left in clear.
+PRIVATE = [
+    ("x" * 80 + "@example.com wrote", "x" * 80), ("_dot.under@mail.example.org", "_dot.under"), ("a@b.c.d.e.f.g.h.i.j.k.l.example.com", "a@"),
+    ('{"password": "hunter22xyz"}', "hunter22xyz"), ('"api_key" : "abcd1234efgh"', "abcd1234efgh"), ("DB_PASSWORD=hunter22xyz", "hunter22xyz"),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI"), ("token= 'ab cd ef gh ij'", "ab cd ef gh ij"), ("pwd=abc1", "abc1"), ("token= 'noend12 and more", "noend12"),
+    ("call +48601234567 now", "601234567"), ("api-key: 0123456789", "0123456789"),
+]
+CLEAN = ["the secret of it", "a token of thanks: we met", "passwords are bad", "mytoken: abcdefgh", "tokenizer: abcdefgh", "secret: it is", "x+y=12345678", "page 12 of 2016", "no one @ home", "a = b", "token"]
+
+
+def test_private_lines_are_found_and_clean_ones_left(spark):
+    rows = [(i, line, "s") for i, line in enumerate([*(x for x, _ in PRIVATE), *CLEAN])]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs_frame(spark, rows), "k").collect()}
+    for i, (line, value) in enumerate(PRIVATE):
+        assert value not in out[i] and len(out[i]) == len(line), line
+    assert [out[len(PRIVATE) + k] for k in range(len(CLEAN))] == CLEAN
+
+
+def test_long_values_have_no_period(spark):
+    (row,) = pii.pseudonymize(docs_frame(spark, [(1, "token=" + "a" * 1000, "s")]), "k").collect()
+    new = row["text"].removeprefix("token=")
+    assert len(new) == 1000 and all(new[:84] != new[k : k + 84] for k in range(1, 900))
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
@@ -409,6 +433,25 @@ def test_likeness_estimates_containment(spark):
 # -- lines ---------------------------------------------------------------------
 
 
+def test_a_family_of_lines_costs_no_square(spark):
+    """Lines of one template, similar to about 0.7: they share bands and do not link."""
+    rnd = random.Random(6)
+    template = "the committee of the town resolved on its meeting that the bridge over the river be mended by {} {} before the winter comes to {}"
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    seen = {}
+    for n in (400, 1600):
+        docs = docs_frame(spark, [(i, template.format(word(), word(), word()), "s") for i in range(n)])
+        counted = []
+        original = line_dedup._verified
+        line_dedup._verified = lambda pairs, docs: (counted.append(pairs.count()), original(pairs, docs))[1]
+        try:
+            assert line_dedup.line_verdicts(docs).count() == n
+        finally:
+            line_dedup._verified = original
+        seen[n] = sum(counted)
+    assert seen[1600] < 6 * max(seen[400], 2000) and seen[1600] < 150_000
+
+
 def test_fuzzy_lines_keep_one_per_component(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away from the very old house on the hill"
     rows = [(1, base + "\nunique words here only", "s"), (2, base.replace("quick", "quack") + "\n\n", "s"), (3, "something else entirely is written in this other line", "s"),
