@@ -36,7 +36,7 @@ ROUNDS = 8
 #: kind -> pattern, in the order they are tried at a position
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+(?![A-Za-z0-9-])",
-    "secret": r"(?:(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<![^\W_])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[_-]\w++)*+[\"']?(?:\h*+|\s{0,3})"
+    "secret": r"(?=[APSTapst])(?:(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<![^\W_])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:[_-]\w++)*+[\"']?(?:\h*+|\s{0,3})"
     r"(?:[=:](?:\h*+|\s{0,3})(?:\"[^\"\n]{3,}+\"|'[^'\n]{3,}+'|[\"']?[^\s\"']{6,}+)|=\h*+[^\s\"'=]{3,}+))",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-])",
