@@ -217,19 +217,28 @@ def passage_locate(spark, sf_dir):
     return contain.first_occurrence(docs, quoted).withColumnRenamed("quote_id", "item_id")
 
 
+SQL_CLAIMED = """q AS (SELECT item_id, item_id % 4 AS kind, substr(text, length(text) // 3 + 1) AS quoted,
+    text || CASE item_id % 4 WHEN 1 THEN ' within 14 days' WHEN 2 THEN ' before 7 witnesses' WHEN 3 THEN ' within 21 days of 2016-10-06' ELSE '' END AS claim FROM benchmark)"""
+
+
 @query(
     "support_score",
-    f"""WITH s AS (SELECT item_id, {sql_tokens('text', True)} AS ours, {sql_tokens("substr(text, 1, 120)", True)} AS theirs,
-        regexp_matches(text, '\\d') AS numbers, text FROM benchmark),
-    c AS (SELECT item_id, numbers, len(list_distinct(ours)) AS n, len(list_intersect(list_distinct(ours), theirs))::DOUBLE / greatest(len(list_distinct(ours)), 1) AS share FROM s)
-    SELECT item_id, CASE WHEN n = 0 THEN 'weak' WHEN share >= 0.60::DOUBLE THEN 'strong' WHEN share >= 0.15::DOUBLE THEN 'weak' ELSE 'none' END AS degree,
-      round(share, 6) AS coverage FROM c WHERE NOT numbers""",
+    f"""WITH {SQL_CLAIMED}, s AS (SELECT item_id, kind, list_distinct({sql_tokens('claim', True)}) AS ours, {sql_tokens('quoted', True)} AS theirs, quoted FROM q),
+    c AS (SELECT item_id, kind, len(ours) AS n, quoted, len(list_intersect(ours, theirs))::DOUBLE / greatest(len(ours), 1) AS share FROM s)
+    SELECT item_id, CASE WHEN quoted = '' OR kind = 1 THEN 'none' WHEN kind = 2 OR n = 0 THEN 'weak' WHEN share >= 0.60::DOUBLE THEN 'strong' WHEN share >= 0.15::DOUBLE THEN 'weak' ELSE 'none' END AS degree,
+      CASE WHEN quoted = '' OR kind IN (1, 2) THEN 0 ELSE round(share, 6) END AS coverage, CASE WHEN quoted = '' THEN '' WHEN kind = 1 THEN 'okres14d' WHEN kind = 2 THEN '7' ELSE '' END AS missing FROM c""",
 )
 def support_score(spark, sf_dir):
-    """How far a passage's first 120 characters support the whole of it (passages without numbers)."""
-    rows = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"\d"))
-    found = verify.support(F.col("text"), F.substring("text", 1, 120), F.lit(""), "en")
-    return rows.select("item_id", found.alias("f")).select("item_id", "f.degree", F.round("f.coverage", 6).alias("coverage"))
+    """How far the last two thirds of a passage support claims on the whole of it.
+
+    Some claims add a period or a number that the quotation lacks; others add values that the question named, which count
+    as known.
+    """
+    more = F.expr("CASE item_id % 4 WHEN 1 THEN ' within 14 days' WHEN 2 THEN ' before 7 witnesses' WHEN 3 THEN ' within 21 days of 2016-10-06' ELSE '' END")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", more).alias("claim"), F.expr("substring(text, length(text) div 3 + 1)").alias("quoted"))
+    asked = F.when(F.col("item_id") % 4 == 3, "what happened within 21 days of October 6, 2016?").otherwise("")
+    found = verify.support(F.col("claim"), F.col("quoted"), asked, "en")
+    return rows.select("item_id", found.alias("f")).select("item_id", "f.degree", F.round("f.coverage", 6).alias("coverage"), F.array_join("f.missing", " ").alias("missing"))
 
 
 @query(
