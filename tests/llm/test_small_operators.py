@@ -449,7 +449,7 @@ def test_a_family_of_lines_costs_no_square(spark):
         finally:
             line_dedup._verified = original
         seen[n] = sum(counted)
-    assert seen[1600] < 6 * max(seen[400], 2000) and seen[1600] < 150_000
+    assert seen[1600] < 6 * seen[400] and seen[1600] < 1600 * line_dedup.NEAR * line_dedup.BANDS
 
 
 def test_fuzzy_lines_keep_one_per_component(spark):
