@@ -5,14 +5,16 @@ at most ``WHOLE`` shingles keeps the others too. The hashes under the fraction m
 comparable, and those of a union of texts are the union of theirs. Likeness is the estimated containment of the
 smaller sketch in the larger: shared hashes / hashes of the smaller, over all hashes where both texts keep them
 all and over those under the fraction otherwise. Where a short text has none under it, its containment in a long
-text is unknown and given as 0 (of n shingles none is under it with probability 0.75 ** n).
+text is unknown and given as 0 (of n shingles none is under it with probability 0.5 ** n: 3 in 100 for a passage of
+nine words, 1 in 1000 for one of fourteen).
 
 Everything is a DataFrame expression. Neighbours in doc_id order are found on a slim table (id, hash, length)
 that is range-partitioned; only then do texts meet: each text is shuffled once by its id, and the beginning
 that its predecessor needs travels to that predecessor.
 
 Defined results: a null text is empty; an empty or white-space text has the empty fingerprint, which is
-like another empty one (1) and unlike all others (0); a text under five words is one shingle; identical rows
+like another empty one (1) and unlike all others (0); a text of any length is read whole; a text under five words is one
+shingle; an empty table gives no rows; other columns are not read, so their names cannot clash; identical rows
 count as one document in the order of neighbours and each get a row; rows of equal doc_id follow each
 other by text hash; a null doc_id comes first; the only document's next is itself.
 """
@@ -26,7 +28,7 @@ from lodestone.llm.common import WORD, ascii_lower, let, scratch, text_or_empty
 
 WIDTH = 5
 #: One hash in this many is kept.
-KEEP_ONE_IN = 4
+KEEP_ONE_IN = 2
 _CEILING = -(2**63) + 2**64 // KEEP_ONE_IN
 #: Texts of up to this many shingles (with repeats) keep all their hashes.
 WHOLE = 64
@@ -47,37 +49,39 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """Sorted upper 32 bits of the kept hashes."""
+    """(whole, hashes): whether every hash is kept, and the sorted upper 32 bits of the kept ones."""
     return let(
         shingle_hashes(text),
-        lambda h: F.sort_array(
-            F.array_distinct(
-                F.transform(
-                    F.when(F.size(h) <= WHOLE, h).otherwise(F.filter(h, lambda x: x < F.lit(_CEILING))),
-                    lambda x: F.shiftright(x, 32).cast("int"),
+        lambda h: F.struct(
+            (F.size(h) <= WHOLE).alias("whole"),
+            F.sort_array(
+                F.array_distinct(
+                    F.transform(
+                        F.when(F.size(h) <= WHOLE, h).otherwise(F.filter(h, lambda x: x < F.lit(_CEILING))),
+                        lambda x: F.shiftright(x, 32).cast("int"),
+                    )
                 )
-            )
+            ).alias("hashes"),
         ),
     )
 
 
 def as_text(hashes: Column) -> Column:
-    """A sketch as a string: eight hex digits for each hash."""
+    """A sketch's hashes as a string: eight hex digits for each."""
     return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + F.lit(2**31)), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Containment of the smaller sketch in the larger one, 0 to 1."""
-    limit = F.lit(_CEILING >> 32)  # sketches are sorted: the last hash tells whether it keeps those over the fraction
-    whole = (F.size(a) > 0) & (F.size(b) > 0) & (F.try_element_at(a, F.lit(-1)) >= limit) & (F.try_element_at(b, F.lit(-1)) >= limit)
+    whole = a["whole"] & b["whole"]
 
     def part(x: Column) -> Column:
-        return F.when(whole | (F.size(x) == 0) | (F.try_element_at(x, F.lit(-1)) < limit), x).otherwise(F.filter(x, lambda h: h < limit))
+        return F.when(whole | ~x["whole"], x["hashes"]).otherwise(F.filter(x["hashes"], lambda h: h < F.lit(_CEILING >> 32)))
 
     def shared(both: Column) -> Column:
         smaller = F.least(F.size(both["a"]), F.size(both["b"]))
         return F.when(smaller > 0, F.size(F.array_intersect(both["a"], both["b"])).cast("double") / smaller).otherwise(
-            (F.greatest(F.size(a), F.size(b)) == 0).cast("double")
+            (F.greatest(F.size(a["hashes"]), F.size(b["hashes"])) == 0).cast("double")
         )
 
     return let(F.struct(part(a).alias("a"), part(b).alias("b")), shared)
@@ -135,8 +139,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("own")).alias("fingerprint"),
-        as_text(F.col("edited_own")).alias("edited_fingerprint"),
+        as_text(F.col("own.hashes")).alias("fingerprint"),
+        as_text(F.col("edited_own.hashes")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited_own")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )

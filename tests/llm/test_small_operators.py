@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from lodestone.llm import exact_dedup, fingerprint, line_dedup, mixing, packing, pii, toxicity, url_filter
 from lodestone.llm.common import unused
@@ -405,6 +407,41 @@ def test_short_text_within_a_long_one(spark):
     assert sum(x == 1 for x in near) >= 0.97 * len(near)
 
 
+def brute_sketch(text):
+    """The kept hashes of a text, from its words alone."""
+    def chained(parts, seed=42):
+        for part in parts:
+            seed = xxhash.xxh64_intdigest(part, seed=seed)
+        return seed
+
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42).to_bytes(8, "little") for w in re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))]
+    grams = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) > 4 else [words] * bool(words)
+    hashes = [h - 2**64 if h >= 2**63 else h for h in map(chained, grams)]
+    kept = {(h >> 32) + 2**31 for h in hashes if len(grams) <= fingerprint.WHOLE or h < -(2**63) + 2**64 // fingerprint.KEEP_ONE_IN}
+    return "".join(f"{h:08x}" for h in sorted(kept))
+
+
+def test_fingerprints_equal_a_recomputation(spark):
+    rnd = random.Random(5)
+    texts = ["", " \n", "One", "four words are here", "É É é é é é"] + [" ".join(rnd.choice(["Ab", "cd", "éf", "x" * 40, "1"]) + str(rnd.randrange(90)) for _ in range(n)) for n in (5, 6, 68, 69, 70, 3000)]
+    out = {r["doc_id"]: r for r in fingerprint.fingerprints(docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        after, cut = texts[(i + 1) % len(texts)], len(t) // 4
+        assert out[i]["fingerprint"] == brute_sketch(t)
+        assert out[i]["edited_fingerprint"] == brute_sketch(t[: len(t) - cut] + after[:cut])
+
+
+def test_short_passages_in_long_texts_are_mostly_seen(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(4000)]
+    sketched = [fingerprint.sketch(F.col(c)) for c in "ab"]
+    for n, most in ((5, 0.65), (6, 0.4), (9, 0.1), (14, 0.02)):
+        rows = [(" ".join(words), " ".join(words[k : k + n])) for k in range(0, 3900, 20)]
+        near = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(fingerprint.likeness(*sketched)).collect()]
+        assert sum(x == 0 for x in near) <= most * len(near)
+
+
 def brute_likeness(a, b):
     def grams(t):
         w = t.split()
