@@ -119,21 +119,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     repeated = not slim.where("rows > 1").isEmpty()
     before = scratch(neighbours(slim.drop("rows")), "neighbours")
     # A key pair without nulls, from which the id can be had again: both joins below then ask for the very same
-    # exchange (columns included), and the texts are shuffled once.
-    full = base.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "h", "text", sketch(F.col("text")).alias("own"))
+    # exchange (columns included), and the texts are shuffled once. Sketches are made after it, so that none travels along.
+    full = base.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), "h", "text")
     key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k")
     donors = full.join(before.select(key, "h", "prev_id", "prev_h", "prev_n"), ["k", "h"]).select(
         F.coalesce(F.col("prev_id").cast("string"), F.lit("")).alias("k"),
         F.col("prev_h").alias("h"),
         F.expr("substring(text, 1, cast(prev_n div 4 as int))").alias("donor"),
-        F.col("own").alias("next_own"),
+        sketch(F.col("text")).alias("next_own"),
     )
     if repeated:
         donors = donors.dropDuplicates(["k", "h"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("donor", F.lit(1), quarter))
-    out = full.join(donors, ["k", "h"]).select(F.expr("cast(nullif(k, '') as long)").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    out = full.join(donors, ["k", "h"]).select(F.expr("cast(nullif(k, '') as long)").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("own"), "next_own")
     out = out.withColumn("edited_own", sketch(F.col("edited")))
     return out.select(
         "doc_id",
