@@ -116,9 +116,17 @@ def _throttled() -> Callable[[Any, list], tuple]:
     return step
 
 
+def lock_seconds(failed: Column) -> Column:
+    """How long a login is locked after so many failures in a row."""
+    longer = F.pow(F.lit(2.0), F.least(failed - LOCK_AFTER, F.lit(20)))
+    return F.when(failed >= LOCK_AFTER, F.least(F.lit(LOCK_MOST), LOCK_BASE * longer)).otherwise(0).cast("long")
+
+
 def keep_newest(rows: DataFrame, by: str | None, order: str, n: int) -> DataFrame:
-    """Retention: the newest ``n`` rows of every group."""
-    window = Window.partitionBy(*([by] if by else [])).orderBy(F.desc(order))
+    """Retention: the newest ``n`` rows of every group, or of the table where ``by`` is None (each task then keeps ``n``)."""
+    if by is None:
+        return rows.orderBy(F.desc(order)).limit(n)
+    window = Window.partitionBy(by).orderBy(F.desc(order))
     return rows.withColumn("age", F.row_number().over(window)).where(F.col("age") <= n).drop("age")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.ledger import share
@@ -26,11 +26,18 @@ def best_coverage(cases: DataFrame, citations: DataFrame) -> DataFrame:
     return best.withColumn("hit", F.col("coverage") >= HIT)
 
 
-def index_percentile(value: Column, p: float) -> Column:
-    """The element at index min(n - 1, floor(n * p)) of the sorted values; 0 where there are none."""
-    values = F.array_sort(F.collect_list(value))
-    n = F.size(values)
-    return F.coalesce(F.get(values, F.least(n - 1, F.floor(n * F.lit(p)).cast("int"))), F.lit(0.0))
+def index_percentiles(rows: DataFrame, by: str, value: Column, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ``shares``, longest): the element at index min(n - 1, floor(n * share)) of the sorted values.
+
+    Null values do not count; a share is 0 and ``longest`` null where a group has none. Values are counted before they are put
+    in order, so a group costs its distinct values, and no list of them is built.
+    """
+    counted = rows.groupBy(by, value.alias("value")).agg(F.count(value).alias("n"))
+    group = Window.partitionBy(by)
+    placed = counted.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
+    at = lambda p: F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(p)))
+    found = [F.coalesce(F.min(F.when(F.col("upto") > at(p), F.col("value"))), F.lit(0.0)).alias(name) for name, p in shares.items()]
+    return placed.groupBy(by).agg(*found, F.max("value").alias("longest"))
 
 
 def pairs(scored: DataFrame) -> DataFrame:

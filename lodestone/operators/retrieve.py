@@ -7,10 +7,8 @@ questions' terms only, so the exploded corpus never meets the questions whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,41 +203,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
     """Exact nearest vectors of a stated set of query vectors; ties go to the smaller vec_id.
 
-    ``vectors``: (vec_id, embedding); ``queries``: (query_id, query). Queries come to the driver ``block`` at a time and
-    travel to the vectors as one matrix, which bounds memory; every Arrow batch keeps ``k`` rows a query.
+    ``vectors``: (vec_id, embedding); ``queries``: (query_id, query). Both sides are dealt into blocks of some ``block`` rows by
+    hash, and each pair of blocks is one product in one task, of which ``k`` rows a query remain. Every vector travels once for
+    each block of queries and the other way round; nothing passes the driver. Null vectors take no part.
     """
-    spark = vectors.sparkSession
-
-    def against(held: Broadcast):
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import numpy as np
-
-            ids, matrix = held.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                vec = batch["vec_id"].to_numpy()
-                score = np.round(np.stack(batch["embedding"].to_numpy()).astype(np.float64) @ matrix.T, 6)
-                near = np.lexsort((np.broadcast_to(vec[:, None], score.shape), -score), axis=0)[: k + 1]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(ids, len(near)),
-                        "vec_id": vec[near.T.ravel()],
-                        "score": np.take_along_axis(score, near, axis=0).T.ravel(),
-                    }
-                )
-
-        return nearest
-
-    import numpy as np
-
-    schema = "query_id long, vec_id long, score double"
-    found, asked = spark.createDataFrame([], schema), queries.select("query_id", "query").toLocalIterator()
-    while rows := list(islice(asked, block)):
-        held = spark.sparkContext.broadcast((np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows], dtype=np.float64)))
-        found = found.unionByName(vectors.select("vec_id", "embedding").mapInPandas(against(held), schema))
-    found = found.where("vec_id <> query_id").withColumn("score", F.round("score", 6))
-    return top_k(found, "query_id", "score", k, "vec_id")
+    vectors = vectors.select("vec_id", "embedding").where("embedding is not null")
+    queries = queries.select("query_id", "query").where("query is not null")
+    many = lambda df: max(1, -(-df.count() // block))
+    rows, sides = many(vectors), many(queries)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = vectors.select(dealt("vec_id", rows).alias("row"), every(sides).alias("side"), "vec_id", "embedding")
+    right = queries.select(every(rows).alias("row"), dealt("query_id", sides).alias("side"), "query_id", "query")
+
+    def nearest(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        names = ["query_id", "vec_id", "score"]
+        if not len(held) or not len(asked):
+            return pd.DataFrame(columns=names).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        vec, matrix = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy()).astype(np.float64)
+        parts = []
+        for at in range(0, len(asked), 256):  # a product of at most 256 queries at a time
+            some = asked.iloc[at : at + 256]
+            ids = some["query_id"].to_numpy()
+            score = np.round(matrix @ np.stack(some["query"].to_numpy()).astype(np.float64).T, 6)
+            score[vec[:, None] == ids[None, :]] = -np.inf
+            near = np.lexsort((np.broadcast_to(vec[:, None], score.shape), -score), axis=0)[:k]
+            best = np.take_along_axis(score, near, axis=0)
+            found = pd.DataFrame({"query_id": np.repeat(ids, len(near)), "vec_id": vec[near.T.ravel()], "score": best.T.ravel()})
+            parts.append(found[found["score"] > -np.inf])
+        return pd.concat(parts)
+
+    pairs = left.groupBy("row", "side").cogroup(right.groupBy("row", "side"))
+    found = pairs.applyInPandas(nearest, "query_id long, vec_id long, score double")
+    return top_k(found.withColumn("score", F.round("score", 6)), "query_id", "score", k, "vec_id")
+

@@ -106,9 +106,7 @@ def quality_gates(spark, sf_dir):
 def percentile_index(spark, sf_dir):
     """Percentiles by index into the sorted times, which differ from the SQL ones."""
     taken = F.when(F.col("seconds") > 0, F.col("seconds"))
-    return _cases(spark, sf_dir).groupBy("lang").agg(
-        metrics.index_percentile(taken, 0.5).alias("p50"), metrics.index_percentile(taken, 0.9).alias("p90"), F.max(taken).alias("longest")
-    )
+    return metrics.index_percentiles(_cases(spark, sf_dir), "lang", taken, {"p50": 0.5, "p90": 0.9})
 
 
 @query(

@@ -95,17 +95,31 @@ def anchor_overlap(spark, sf_dir):
     return asked.join(values.withColumnRenamed("o_orderkey", "found"), "value").where("asked <> found").select("asked", "found", "value")
 
 
-@query("anchor_format_matrix", "SELECT CAST(6 AS BIGINT) AS spellings, CAST(36 AS BIGINT) AS pairs, CAST(36 AS BIGINT) AS anchored_pairs")
+@query(
+    "anchor_format_matrix",
+    """SELECT CAST(o_orderkey % 6 AS INT) AS question, CAST(o_custkey // 3 % 6 AS INT) AS quoted, CAST(count(*) AS BIGINT) AS pairs,
+      CAST(count(*) FILTER (WHERE o_custkey % 3 = 0) AS BIGINT) AS anchored_pairs FROM orders GROUP BY ALL""",
+)
 def anchor_format_matrix(spark, sf_dir):
-    """All pairs of equivalent spellings of one date; each must anchor the other."""
-    forms = ["October 6, 2016", "6 October 2016", "October 6th, 2016", "Oct. 6, 2016", "2016-10-06", "6th day of October, 2016"]
-    a = spark.createDataFrame([(x,) for x in forms], "question string")
-    b = spark.createDataFrame([(x,) for x in forms], "quoted string")
-    pairs = a.crossJoin(b)  # six by six constants
-    return pairs.agg(
-        F.countDistinct("question").alias("spellings"), F.count(F.lit(1)).alias("pairs"),
-        F.sum(anchors.anchored(F.col("question"), F.col("quoted")).cast("long")).alias("anchored_pairs"),
-    )
+    """Every order's date asked in one of six spellings against the same date or the next day quoted in another: the same date
+    must anchor in all 36 pairs of spellings, the other one in none."""
+    day = F.to_date("o_orderdate")
+    quoted = F.date_add(day, F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(1))
+    pairs = table(spark, sf_dir, "orders").select(
+        F.pmod("o_orderkey", F.lit(6)).cast("int").alias("question"), F.pmod(F.floor(F.col("o_custkey") / 3), F.lit(6)).cast("int").alias("quoted"), day.alias("a"), quoted.alias("b")
+    )
+    same = anchors.anchored(_spelled(F.col("a"), F.col("question")), _spelled(F.col("b"), F.col("quoted")))
+    return pairs.groupBy("question", "quoted").agg(F.count(F.lit(1)).alias("pairs"), F.sum(same.cast("long")).alias("anchored_pairs"))
+
+
+def _spelled(d, form):
+    """A date in the spelling of that number."""
+    day, month, short, year = F.dayofmonth(d).cast("string"), F.date_format(d, "MMMM"), F.date_format(d, "MMM"), F.year(d).cast("string")
+    spellings = [
+        F.concat(month, F.lit(" "), day, F.lit(", "), year), F.concat_ws(" ", day, month, year), F.concat(month, F.lit(" "), day, F.lit("th, "), year),
+        F.concat(short, F.lit(". "), day, F.lit(", "), year), F.date_format(d, "yyyy-MM-dd"), F.concat(day, F.lit("th day of "), month, F.lit(", "), year),
+    ]
+    return F.element_at(F.array(*spellings), form + 1)
 
 
 @query(

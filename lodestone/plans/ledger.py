@@ -152,9 +152,16 @@ def failure_sessions(spark, sf_dir):
     return sessions.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("failures"))
 
 
-@query("lock_lengths", "SELECT CAST(n AS BIGINT) AS n, CAST(least(900, 60 * pow(2, n - 5)) AS BIGINT) AS seconds FROM range(5, 15) t(n)")
+@query(
+    "lock_lengths",
+    """SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN n < 5 THEN 0 ELSE least(900, 60 * pow(2, least(n - 5, 20))) END AS BIGINT) AS seconds, CAST(count(*) AS BIGINT) AS logins
+    FROM (SELECT user_id, count(*) FILTER (WHERE event_type <> 'purchase') AS n FROM events GROUP BY user_id) GROUP BY n""",
+)
 def lock_lengths(spark, sf_dir):
-    return spark.range(5, 15).select(F.col("id").alias("n"), F.least(F.lit(900.0), 60 * F.pow(F.lit(2.0), F.col("id") - 5)).cast("long").alias("seconds"))
+    """Logins by their failures, with the lock that so many in a row bring."""
+    failed = F.count(F.when(F.col("event_type") != "purchase", 1)).alias("n")
+    logins = table(spark, sf_dir, "events").groupBy("user_id").agg(failed)
+    return logins.groupBy("n").agg(F.count(F.lit(1)).alias("logins")).withColumn("seconds", ledger.lock_seconds(F.col("n")))
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, CAST(count(*) AS BIGINT) AS n FROM {t}" for t in ("orders", "events", "documents", "pages")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -81,24 +82,30 @@ def throttle(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("login").applyInPandasWithState(step, THROTTLED, THROTTLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def append_chain(spark: SparkSession, table_path: str):
-    """A ``foreachBatch`` writer that continues one hash chain: the only writer of its table.
+def append_chain(spark: SparkSession, path: str):
+    """A ``foreachBatch`` writer that continues one hash chain: the only writer of its tables.
 
-    Every row carries its batch's number; a batch that is delivered again is left out. The last hash is one row; a
-    batch's entries are folded in order from it.
+    Entries lie in ``path/entries`` in a folder for each batch, and the last hash of each batch is one row of ``path/heads``, so
+    a batch reads heads and never the chain. A batch's entries are folded in order from the head of the batches before it; one
+    that is delivered again, also after it broke off half-way, writes the same rows in the same folder. Empty batches leave none.
     """
     from lodestone.operators.ledger import GENESIS, build_chain
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def head(batch_id: int) -> str:
         try:
-            newest = spark.read.parquet(table_path).agg(F.max("batch_id"), F.max_by("hash", "id")).first()
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
+            heads = spark.read.schema("batch_id long, hash string").parquet(f"{path}/heads")
+        except AnalysisException as e:  # before the first batch
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            newest = (None, None)
-        if (newest[0] is not None and newest[0] >= batch_id) or batch.isEmpty():
+            return GENESIS
+        return heads.where(F.col("batch_id") < batch_id).agg(F.max_by("hash", "batch_id")).first()[0] or GENESIS
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
             return
-        hashes = build_chain(batch.withColumn("chain", F.lit(0)), start=newest[1] or GENESIS).drop("chain")
-        batch.join(hashes, "id").withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(table_path)
+        entries = f"{path}/entries/batch_id={batch_id}"
+        hashes = build_chain(batch.withColumn("chain", F.lit(0)), start=head(batch_id)).drop("chain")
+        batch.join(hashes, "id").write.mode("overwrite").parquet(entries)
+        spark.read.parquet(entries).agg(F.max_by("hash", "id").alias("hash")).write.mode("overwrite").parquet(f"{path}/heads/batch_id={batch_id}")
 
     return write
