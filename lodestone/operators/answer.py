@@ -72,6 +72,24 @@ def controlled(claims: DataFrame, mechanical: bool, model: bool, shadow: bool) -
     return claims.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull()).withColumn("note", F.when(F.col("kept"), note))
 
 
+def deep_controlled(claims: DataFrame, mechanical: bool, model: bool) -> DataFrame:
+    """``claims`` (degree, verdict) of the deep path with reason, kept and note.
+
+    Unlike ``controlled``, one switch stands before both checks: without the mechanical one nothing is checked or noted. A claim
+    without support goes before the model is asked; missing verification is noted only where the model was to check.
+    """
+    nothing = F.lit(None).cast("string")
+    if not mechanical:
+        return claims.withColumns({"reason": nothing, "kept": F.lit(True), "note": nothing})
+    reason = F.when(F.col("degree") == "none", "support")
+    note = F.when(F.col("degree") == "weak", "weak")
+    if model:
+        reason = reason.when(F.col("verdict") == "false", "control")
+        note = F.when(F.col("verdict") == "unverified", "unverified").otherwise(note)
+    judged = claims.withColumn("reason", reason)
+    return judged.withColumn("kept", F.col("reason").isNull()).withColumn("note", F.when(F.col("kept"), note))
+
+
 def vote_filter(claims: DataFrame, votes: DataFrame, draws: int) -> DataFrame:
     """``claims`` (question_id, claim_no, numbers) with kept and support, by a majority of ``draws``.
 

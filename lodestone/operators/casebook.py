@@ -105,6 +105,27 @@ def held_in_cases(documents: DataFrame, values: DataFrame) -> DataFrame:
     return found.join(documents.select("case_id", "doc_id"), "doc_id").groupBy("case_id", F.col("quote_id").alias("value")).agg(F.count(F.lit(1)).alias("places"))
 
 
+def leakage_cases(documents: DataFrame, sentences: DataFrame, targets: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
+    """Questions on facts of one case that are asked in another, where they must be refused.
+
+    ``documents`` and ``sentences`` as in ``matched_pairs``; ``targets``: (case_id, target_id), the case whose facts are asked for
+    and the one that is asked. A sentence gives one case, of its first anchor that stands nowhere in the target's texts; a
+    pair of cases gives its first ``most``, documents in seeded order.
+    """
+    found = materialised(sentence_anchors(sentences.where(gold_sentence(F.col("text")))), "leak-anchors")
+    there = held_in_cases(documents, found).select(F.col("case_id").alias("target_id"), "value")
+    absent = found.join(targets, "case_id").join(there, ["target_id", "value"], "left_anti")
+    first = absent.groupBy("case_id", "target_id", "doc_id", "start").agg(F.min(F.struct("turn", "kind", "value")).alias("x")).select("*", "x.*")
+    order = Window.partitionBy("case_id", "target_id").orderBy(drawn(1, F.col("doc_id"), F.lit(seed)), "doc_id", "start")
+    taken = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    questions = F.create_map(*[F.lit(x) for pair in QUESTIONS.items() for x in pair])
+    parts = [F.col(c).cast("string") for c in ("target_id", "doc_id", "start", "value")]
+    return taken.select(
+        F.substring(F.sha2(F.concat_ws("|", F.lit("leakage"), *parts), 256), 1, 12).alias("id"), "case_id", "target_id", F.lit("leakage").alias("category"),
+        F.lit("refuse").alias("expected"), "kind", F.col("value").alias("anchor"), F.replace(F.try_element_at(questions, F.col("kind")), F.lit("{}"), F.col("value")).alias("question"),
+    )
+
+
 def matched_pairs(documents: DataFrame, sentences: DataFrame, pairs: int = 50, seed: int = 42, tries: int = TRIES) -> DataFrame:
     """Answerable cases and their twins that must be refused; each names the other in ``pair_id``.
 

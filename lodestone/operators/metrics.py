@@ -77,6 +77,46 @@ def case_aggregates() -> list[Column]:
     ]
 
 
+def summary(cases: DataFrame) -> DataFrame:
+    """One row over ``cases`` (answerable, hit, stage, reached, occurrences).
+
+    A refusal of an answerable case and an answer that misses are counted apart: the first costs, the second misleads.
+    """
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    asked, unasked, answered = F.col("answerable"), ~F.col("answerable"), F.col("stage") == "answer"
+    missed = asked & ~F.col("hit")
+    part = lambda c, whole: F.round(share(count(c), count(whole)), 6)
+    return cases.agg(
+        F.count(F.lit(1)).alias("cases"),
+        count((asked & F.col("hit")) | (unasked & ~answered)).alias("correct"),
+        part(asked & F.col("hit"), asked).alias("hit_rate"),
+        part(unasked & ~answered, unasked).alias("j3_right_refusal"),
+        count(unasked).alias("uncovered"),
+        count(unasked & answered).alias("false_answers"),
+        count(missed & ~answered).alias("false_refusals"),
+        count(missed & answered).alias("wrong_answers"),
+        part(asked & F.col("reached"), asked).alias("retrieval_recall"),
+        F.round(share(F.coalesce(F.sum(F.when(asked, F.col("occurrences"))), F.lit(0)), count(asked)), 6).alias("mean_occurrences"),
+        count(asked & (F.col("occurrences") == 0)).alias("without_occurrences"),
+    )
+
+
+def stage_histograms(cases: DataFrame) -> DataFrame:
+    """(of, stage, cases): where cases ended, of all and of the answerable ones that were refused."""
+    refused = F.col("answerable") & ~F.col("hit") & (F.col("stage") != "answer")
+    of = F.array_compact(F.array(F.lit("all"), F.when(refused, F.lit("false_refusals"))))
+    return cases.select(F.explode(of).alias("of"), "stage").groupBy("of", "stage").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def harmful_anchors(rejections: DataFrame, most: int = 15) -> DataFrame:
+    """(anchor, rejections): the anchors missed most often where the rejected quotation was a true one.
+
+    ``rejections``: (harmful, missing); ties go by the anchor.
+    """
+    each = rejections.where("harmful").select(F.explode("missing").alias("anchor"))
+    return each.groupBy("anchor").agg(F.count(F.lit(1)).alias("rejections")).orderBy(F.desc("rejections"), "anchor").limit(most)
+
+
 #: metric, direction, threshold (fixed values)
 GATES = (
     ("j3_right_refusal", ">=", 0.66),

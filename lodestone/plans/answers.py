@@ -114,6 +114,22 @@ def support_cascade(spark, sf_dir):
     return whole
 
 
+@query(
+    "deep_support",
+    f"""WITH j AS (SELECT l_orderkey, l_linenumber, {SQL_JUDGED} FROM lineitem), m AS (SELECT *, unnest(['none', 'mechanical', 'model', 'both']) AS mode FROM j),
+    r AS (SELECT *, CASE WHEN mode IN ('none', 'model') THEN NULL WHEN degree = 'none' THEN 'support' WHEN mode = 'both' AND verdict = 'false' THEN 'control' END AS reason FROM m)
+    SELECT l_orderkey, l_linenumber, mode, reason IS NULL AS kept, reason,
+      CASE WHEN reason IS NULL AND mode = 'both' AND verdict = 'unverified' THEN 'unverified' WHEN reason IS NULL AND mode IN ('mechanical', 'both') AND degree = 'weak' THEN 'weak' END AS note FROM r""",
+)
+def deep_support(spark, sf_dir):
+    """Findings of the deep path under the four settings of its checks."""
+    judged, whole = _judged(spark, sf_dir).select("l_orderkey", "l_linenumber", "degree", "verdict"), None
+    for mode, mechanical, model in (("none", False, False), ("mechanical", True, False), ("model", False, True), ("both", True, True)):
+        one = answer.deep_controlled(judged, mechanical, model).select("l_orderkey", "l_linenumber", F.lit(mode).alias("mode"), "kept", "reason", "note")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
 @query(
     "claim_vote_filter",
     """WITH v AS (SELECT l_orderkey AS q, l_suppkey % 5 AS number, count(DISTINCT l_linenumber % 3) AS votes FROM lineitem GROUP BY ALL),

@@ -87,6 +87,23 @@ def matched_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)[1]
 
 
+@query(
+    "leakage_cases",
+    f"""WITH {SQL_PAIRS}, q AS (SELECT a.case_id, doc_id, start, min(struct_pack(turn, kind, value)) AS x FROM a LEFT JOIN w t ON t.case_id = (a.case_id + 1) % 25
+        WHERE NOT coalesce(contains(whole, value), false) GROUP BY a.case_id, doc_id, start),
+      n AS (SELECT case_id, CAST((case_id + 1) % 25 AS BIGINT) AS target_id, doc_id, start, x.kind AS kind, x.value AS value FROM q
+        QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY CAST('0x' || substr(md5(concat_ws('|', doc_id, '42')), 1, 8) AS BIGINT), doc_id, start) <= 20)
+    SELECT substr(sha256(concat_ws('|', 'leakage', target_id, doc_id, start, value)), 1, 12) AS id, CAST(case_id AS BIGINT) AS case_id, target_id, 'leakage' AS category, 'refuse' AS expected,
+      kind, value AS anchor, {_question('value')} AS question FROM n""",
+)
+def leakage_cases(spark, sf_dir):
+    """Facts of every nation's files asked for in the next nation's, where they do not stand."""
+    files = materialised(_files(spark, sf_dir).withColumn("case_id", F.col("case_id").cast("long")), "leak-files")
+    sentences = files.select("case_id", "doc_id", F.explode(txt.sentences(F.col("text"), F.lit("en"))).alias("s")).select("case_id", "doc_id", "s.start", "s.end", "s.text")
+    targets = files.select("case_id").distinct().withColumn("target_id", F.pmod(F.col("case_id") + 1, F.lit(25)).cast("long"))
+    return casebook.leakage_cases(files, sentences, targets)
+
+
 @query(
     "anchor_occurrences",
     rf"""WITH {SQL_PAIRS},

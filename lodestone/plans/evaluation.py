@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import metrics
+from lodestone.operators import metrics, verify
 from lodestone.registry import query
 from lodestone.session import table
 
@@ -195,3 +195,45 @@ def control_matrix(spark, sf_dir):
     degree = F.when(F.col("coverage") >= 0.6, "strong").when(F.col("coverage") >= 0.15, "weak").otherwise("none")
     out = _cases(spark, sf_dir).withColumn("degree", degree).groupBy("answerable").pivot("degree", ["strong", "weak", "none"]).count()
     return out.na.fill(0)
+
+
+# A labelled document is a case whose true places are the documents of the same text; its id says where it was stopped.
+SQL_ENDED = """
+x AS (SELECT doc_id AS id, count(*) OVER (PARTITION BY text) - 1 AS occurrences FROM documents),
+c AS (SELECT l.doc_id AS id, l.quality = 1 AS answerable, l.doc_id % 4 <> 0 AS reached, CASE WHEN l.doc_id % 11 = 0 THEN 'generation' WHEN l.doc_id % 2 = 1 THEN 'answer'
+    WHEN l.doc_id % 4 = 0 THEN 'retrieval' WHEN l.doc_id % 3 = 0 THEN 'anchoring' WHEN l.doc_id % 7 = 0 THEN 'vote' ELSE 'generation' END AS stage, occurrences FROM labels l JOIN x ON id = l.doc_id),
+e AS (SELECT *, stage = 'answer' AND reached AND id % 5 <> 0 AS hit FROM c)
+"""
+
+
+def _ended(spark, sf_dir):
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    digest = F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest")
+    copies = docs.groupBy(digest).agg((F.count(F.lit(1)) - 1).alias("occurrences"))
+    cases = table(spark, sf_dir, "labels").join(docs.select("doc_id", digest), "doc_id").join(copies, "digest")
+    reasons = F.array_compact(F.array(F.when(i % 3 == 0, "anchoring"), F.when(i % 7 == 0, "vote")))
+    stage = verify.stopped_at(F.when(i % 11 == 0, F.lit("failed")), i % 2 == 1, i % 4 != 0, reasons)
+    ended = cases.select((F.col("quality") == 1).alias("answerable"), (i % 4 != 0).alias("reached"), stage.alias("stage"), "occurrences", "doc_id")
+    return ended.withColumn("hit", (F.col("stage") == "answer") & F.col("reached") & (i % 5 != 0))
+
+
+@query(
+    "benchmark_summary",
+    f"""WITH {SQL_ENDED} SELECT count(*) AS cases, {_COUNT("(answerable AND hit) OR (NOT answerable AND stage <> 'answer')")} AS correct, {_share(_COUNT('answerable AND hit'), _COUNT('answerable'))} AS hit_rate,
+      {_share(_COUNT("NOT answerable AND stage <> 'answer'"), _COUNT('NOT answerable'))} AS j3_right_refusal, {_COUNT('NOT answerable')} AS uncovered, {_COUNT("NOT answerable AND stage = 'answer'")} AS false_answers,
+      {_COUNT("answerable AND NOT hit AND stage <> 'answer'")} AS false_refusals, {_COUNT("answerable AND NOT hit AND stage = 'answer'")} AS wrong_answers,
+      {_share(_COUNT('answerable AND reached'), _COUNT('answerable'))} AS retrieval_recall, {_share('coalesce(sum(occurrences) FILTER (WHERE answerable), 0)', _COUNT('answerable'))} AS mean_occurrences,
+      {_COUNT('answerable AND occurrences = 0')} AS without_occurrences FROM e""",
+)
+def benchmark_summary(spark, sf_dir):
+    """The whole benchmark in one row, false refusals and wrong answers apart."""
+    return metrics.summary(_ended(spark, sf_dir))
+
+
+@query(
+    "stage_histograms",
+    f"""WITH {SQL_ENDED} SELECT 'all' AS "of", stage, count(*) AS cases FROM e GROUP BY stage
+    UNION ALL SELECT 'false_refusals', stage, count(*) FROM e WHERE answerable AND NOT hit AND stage <> 'answer' GROUP BY stage""",
+)
+def stage_histograms(spark, sf_dir):
+    return metrics.stage_histograms(_ended(spark, sf_dir))

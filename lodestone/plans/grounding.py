@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import anchors
 from lodestone.functions import text as txt
-from lodestone.operators import contain, verify
+from lodestone.operators import contain, metrics, verify
 from lodestone.plans.retrieval import sql_tokens
 from lodestone.registry import query
 from lodestone.session import table
@@ -122,6 +122,21 @@ def _spelled(d, form):
     return F.element_at(F.array(*spellings), form + 1)
 
 
+@query(
+    "harmful_anchors",
+    f"""WITH {SQL_ANCHORED}, v AS (SELECT o_orderkey, d, unnest(string_split({SQL_DATES}, ' ')) AS value FROM t)
+    SELECT value AS anchor, CAST(count(*) AS BIGINT) AS rejections FROM v JOIN orders USING (o_orderkey)
+    WHERE o_custkey % 2 = 0 AND value <> strftime(CASE WHEN o_custkey % 3 = 0 THEN d ELSE d + 1 END, '%Y-%m-%d') GROUP BY value ORDER BY 2 DESC, 1 LIMIT 15""",
+)
+def harmful_anchors(spark, sf_dir):
+    """Dates that claims name and their quotations lack, counted over the quotations that were true ones; the fifteen commonest."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = _anchored(spark, sf_dir).join(orders, "o_orderkey")
+    quoted = _spelled(F.date_add("d", F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(1)), F.pmod("o_orderkey", F.lit(6)).cast("int"))
+    missing = F.array_except(anchors.dates(F.col("text")), anchors.dates(quoted))
+    return metrics.harmful_anchors(rows.select((F.col("o_custkey") % 2 == 0).alias("harmful"), missing.alias("missing")))
+
+
 @query(
     "anchor_probe",
     f"""WITH {SQL_ANCHORED} SELECT o_orderkey, contains(text, strftime(d, '%Y')) AND contains(text, CAST(day(d) AS VARCHAR)) AS passes FROM t""",

@@ -70,3 +70,17 @@ def test_noise_stays_within_its_budget(lang):
         assert noised != text and digits <= changed <= max(1, int(len(text) * level)) + 1
         assert casebook.noised_text(text, level, lang, 42)[0] == noised != casebook.noised_text(text, level, lang, 43)[0]
     assert casebook.noised_text("", 0.1, lang, 1) == ("", 0, 0) and casebook.noised_text(text, 0, lang, 1) == (text, 0, 0)
+
+
+def test_facts_of_one_case_are_asked_where_they_do_not_stand(spark):
+    a = "The court entered the order of January 2, 1996 in the docket of the plaintiff without notice. The plaintiff claims $12,345.50 in damages under the order of January 2, 1996 here."
+    b = "The clerk has read of $12,345.50 in the files of the defendant and of nothing else in this matter."
+    files = spark.createDataFrame([(1, 10, a), (2, 20, b)], "case_id long, doc_id long, text string")
+    sentences = files.select("case_id", "doc_id", F.explode(txt.sentences(F.col("text"), F.lit("en"))).alias("s")).select("case_id", "doc_id", "s.start", "s.end", "s.text")
+    targets = spark.createDataFrame([(1, 2), (2, 1), (1, 9)], "case_id long, target_id long")
+    rows = casebook.leakage_cases(files, sentences, targets).collect()
+    got = sorted((r["case_id"], r["target_id"], r["kind"], r["anchor"]) for r in rows)
+    date = "January 2, 1996"
+    assert got == [(1, 2, "date", date), (1, 2, "date", date), (1, 9, "amount", "$12,345.50"), (1, 9, "date", date)]
+    assert len({r["id"] for r in rows}) == 4 and all(r["expected"] == "refuse" and r["anchor"] in r["question"] for r in rows)
+    assert casebook.leakage_cases(files, sentences, targets, most=1).count() == 2

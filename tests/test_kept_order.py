@@ -105,3 +105,38 @@ def test_progress_of_jobs_and_streams(spark, sf, tmp_path):
         spark.streams.removeListener(listener)
     assert listener.rows and sum(listener.rows.values()) == events.count()
     assert {r["job"]: r["state"] for r in progress.newest().collect()}["copy"] == "finished"
+
+
+def test_summary_keeps_refusals_and_misses_apart(spark):
+    rows = [(True, True, "answer", True, 2), (True, False, "answer", True, 0), (True, False, "vote", False, 1), (False, False, "answer", True, 0), (False, False, "retrieval", False, 0)]
+    cases = spark.createDataFrame(rows, "answerable boolean, hit boolean, stage string, reached boolean, occurrences long")
+    assert metrics.summary(cases).first().asDict() == {
+        "cases": 5, "correct": 2, "hit_rate": 0.333333, "j3_right_refusal": 0.5, "uncovered": 2, "false_answers": 1, "false_refusals": 1,
+        "wrong_answers": 1, "retrieval_recall": 0.666667, "mean_occurrences": 1.0, "without_occurrences": 1,
+    }
+    assert {tuple(r) for r in metrics.stage_histograms(cases).collect()} == {
+        ("all", "answer", 3), ("all", "vote", 1), ("all", "retrieval", 1), ("false_refusals", "vote", 1)
+    }
+    none = metrics.summary(cases.where("false")).first()
+    assert none["cases"] == 0 and none["hit_rate"] == 0 and none["mean_occurrences"] == 0
+    missed = spark.createDataFrame([(True, ["b", "a"]), (True, ["b"]), (False, ["c"]), (True, [])], "harmful boolean, missing array<string>")
+    assert [tuple(r) for r in metrics.harmful_anchors(missed).collect()] == [("b", 2), ("a", 1)]
+
+
+def test_exports_and_snapshots(spark, tmp_path):
+    from lodestone.sources import export
+
+    questions = spark.createDataFrame([(1, "Who <signed>?"), (2, "When?")], "question_id int, question string")
+    findings = spark.createDataFrame([(1, 2, "B", 7, 5, 9, "x & y"), (1, 1, " A ", 7, 0, 4, "told")], "question_id int, number int, text string, doc_id int, start int, `end` int, quoted string")
+    rejected = spark.createDataFrame([(1, 3, "C", "vote")], "question_id int, number int, text string, reason string")
+    pages = {r["question_id"]: r["document"] for r in export.to_markdown(questions, findings, rejected).collect()}
+    assert pages[1].index("**1.** A") < pages[1].index("> told") < pages[1].index("**2.** B") < pages[1].index("- C (vote)") and "characters 5–9" in pages[1]
+    assert "None: the documents do not answer this." in pages[2] and "Rejected" not in pages[2]
+    pages = {r["question_id"]: r["document"] for r in export.to_html(questions, findings, rejected).collect()}
+    assert "Who &lt;signed&gt;?" in pages[1] and "x &amp; y" in pages[1] and "<signed>" not in pages[1]
+
+    tables = {"q": questions, "f": findings}
+    ledger.write_snapshot(tables, f"{tmp_path}/snap")
+    assert all(r["same"] for r in ledger.compare_snapshot(spark, tables, f"{tmp_path}/snap").collect())
+    less = {"q": questions.limit(1), "f": findings}
+    assert {r["table"]: (r["expected"], r["found"], r["same"]) for r in ledger.compare_snapshot(spark, less, f"{tmp_path}/snap").collect()} == {"q": (1, 2, False), "f": (2, 2, True)}
