@@ -7,7 +7,8 @@ The index side of that join is never shuffled.
 
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing A-Z;
 the largest doc_id of a group stays (a null doc_id is smaller than any other); of rows that repeat both
-doc_id and text exactly one stays; an empty batch gives no rows; all other columns pass through.
+doc_id and text exactly one stays; an empty batch gives no rows; a text of any length is
+hashed whole; all other columns pass through, also those named like the operator's own.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ rows is spread over ``SLICES`` groups.
 
 Defined results: null text has size 0 and takes 0; a null source is one source of its own, last; source
 weights repeat 1, 2, 3 by code point order; repeated rows are sampled each on its own key order; an empty
-table gives no rows.
+table gives no rows; a text of any length is read whole (its size is the number of its words); other columns pass through
+``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Labels of held-out documents, lang, source and doc_id are never inputs.
 
 Defined results: null and empty texts have the zero vector and get the share of good labels, as does any
 document when there are no labelled rows of both kinds; ties between neighbours go by sample order; repeated
-rows are scored each.
+rows are scored each; a text of any length is read whole; an empty table gives no rows; other columns are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations

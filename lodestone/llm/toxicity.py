@@ -11,7 +11,9 @@ labels arrive there), a sixth of which only calibrates the scores. Labels of hel
 and doc_id are never inputs.
 
 Defined results: null and empty texts are scored like any other; without labelled rows of both kinds the
-score is the share of toxic rows (0 without any); repeated rows are scored each.
+score is the share of toxic rows (0 without any); repeated rows are scored each, and equal
+texts alike; ties among terms and cuts go by their order; a text of any length is read whole; an empty table gives no rows; other
+columns are not read in scores and pass through ``reject_toxic``, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Path prefixes are taken at the lengths that occur among the rules (never more th
 has), so a rule need not end at a path separator.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, which no rule fits; rules of
-equal expression resolve to block; no fitting rule gives ``default``; repeated rows are judged each.
+equal expression resolve to block; no fitting rule gives ``default``; repeated rows are judged each; a URL of
+any length is judged whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -595,6 +595,77 @@ def test_held_out_accuracy(spark, name, label, least):
     assert all(0 <= r["score"] <= 1 for r in judged)
 
 
+@pytest.mark.parametrize("name,label,threshold,recall", [("op5_quality", "quality", 0.3, 0.9), ("op8_toxicity", "toxic", 0.5, 0.6)])
+def test_rarer_class_is_found(spark, name, label, threshold, recall):
+    """Accuracy alone is high for a model that always says the commoner label."""
+    from lodestone.llm.queries import queries
+
+    sf = "/root/testdata/sf0.1"
+    judged = queries()[name](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", label).collect()
+    assert all(r["predicted"] == int(r["score"] >= threshold) for r in judged)
+    for value in (0, 1):
+        there = [r["predicted"] == value for r in judged if r[label] == value]
+        assert len(there) > 20 and sum(there) >= recall * len(there)
+
+
+def test_votes_equal_a_loop_over_documents(spark):
+    from lodestone.llm import quality
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 and r["quality"] is not None}
+    sample = sorted(i for i in truth if i in texts)
+    assert [truth[i] for i in sample] == model.labels.tolist()  # all labelled rows outside the held-out fifth, fewer than the bound
+
+    def vector(text):
+        counts = {}
+        tokens = text.split()
+        for token in tokens:
+            for column in quality.terms(token):
+                counts[column] = counts.get(column, 0) + 1
+        again = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+        if again:
+            counts[quality.REPEATED] = counts.get(quality.REPEATED, 0) + again
+            if 10 * again > len(tokens):
+                counts[quality.MOSTLY_REPEATED] = counts.get(quality.MOSTLY_REPEATED, 0) + again
+        v = sum((np.log1p(n) * model.projection[c].astype(float) for c, n in counts.items()), np.zeros(model.projection.shape[1]))
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    held = [vector(texts[i]) for i in sample]
+    for r in quality.score_quality(docs, model).collect():
+        v = vector(texts[r["doc_id"]])
+        near = sorted(((float(v @ w), truth[i]) for i, w in zip(sample, held, strict=True)), key=lambda x: -x[0])
+        k = quality.NEIGHBOURS
+        if len(near) > k and near[k - 1][0] - near[k][0] < 1e-5:
+            continue  # which of two equal neighbours votes is a matter of rounding
+        weight = [max(a, 0.0) ** 4 for a, _ in near[:k]]
+        want = sum(w * label for w, (_, label) in zip(weight, near, strict=False)) / sum(weight) if sum(weight) > 1e-9 else model.share
+        assert abs(r["score"] - want) < 1e-3
+
+
+def test_tree_scores_equal_a_walk_from_node_to_node(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    def walk(text):
+        x, total = toxicity.text_features(text, model.fixed, model.learned), model.trees.base
+        for tree in model.trees.trees:
+            at = 0
+            while tree[at][0] is not None:
+                feature, cut, right = tree[at]
+                at = at + 1 if sum(c < x[feature] for c in model.trees.cuts[feature]) <= cut else right
+            total += tree[at][1]
+        return min(max(float(np.interp(total, model.isotonic.x, model.isotonic.y)), 0.0), 1.0)
+
+    rows = toxicity.score_toxicity(docs, model).collect()
+    assert len(rows) == len(texts)
+    assert all(abs(r["score"] - walk(texts[r["doc_id"]])) < 1e-9 for r in rows)
+
+
 @pytest.mark.parametrize("module,fit,score", [("quality", "fit_quality", "score_quality"), ("toxicity", "fit_toxicity", "score_toxicity")])
 def test_classifiers_without_labels_or_texts(spark, module, fit, score):
     import importlib
