@@ -108,8 +108,10 @@ def anchor_format_matrix(spark, sf_dir):
     pairs = table(spark, sf_dir, "orders").select(
         F.pmod("o_orderkey", F.lit(6)).cast("int").alias("question"), F.pmod(F.floor(F.col("o_custkey") / 3), F.lit(6)).cast("int").alias("quoted"), day.alias("a"), quoted.alias("b")
     )
-    same = anchors.anchored(_spelled(F.col("a"), F.col("question")), _spelled(F.col("b"), F.col("quoted")))
-    return pairs.groupBy("question", "quoted").agg(F.count(F.lit(1)).alias("pairs"), F.sum(same.cast("long")).alias("anchored_pairs"))
+    once = pairs.groupBy("question", "quoted", "a", "b").agg(F.count(F.lit(1)).alias("n"))  # at most 72 a day
+    texts = once.select("question", "quoted", "n", _spelled(F.col("a"), F.col("question")).alias("asked"), _spelled(F.col("b"), F.col("quoted")).alias("said"))
+    same = texts.select("question", "quoted", "n", anchors.anchored(F.col("asked"), F.col("said")).alias("same"))
+    return same.groupBy("question", "quoted").agg(F.sum("n").alias("pairs"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("anchored_pairs"))
 
 
 def _spelled(d, form):
@@ -133,8 +135,9 @@ def harmful_anchors(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = _anchored(spark, sf_dir).join(orders, "o_orderkey")
     quoted = _spelled(F.date_add("d", F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(1)), F.pmod("o_orderkey", F.lit(6)).cast("int"))
-    missing = F.array_except(anchors.dates(F.col("text")), anchors.dates(quoted))
-    return metrics.harmful_anchors(rows.select((F.col("o_custkey") % 2 == 0).alias("harmful"), missing.alias("missing")))
+    texts = rows.where("o_custkey % 2 = 0").select("text", quoted.alias("said"))
+    missing = F.array_except(anchors.dates(F.col("text")), anchors.dates(F.col("said")))
+    return metrics.harmful_anchors(texts.select(F.lit(True).alias("harmful"), missing.alias("missing")))
 
 
 @query(
