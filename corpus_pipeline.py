@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame;
 all but the last return the columns of ``documents``. ``run`` writes every stage's result as Parquet in the
 shared folder and reads it again, so an executor lost later costs no earlier stage.
+
+Defined results: null and empty texts are documents (equal ones are exact copies; of size 0,
+they follow the epochs of their source in the mix; packed, they are one token); a null doc_id or source is a value of its own; texts of any length are taken whole;
+an empty table gives no rows; columns that are not of ``documents`` pass through all but the last stage.
 """
 
 from __future__ import annotations
