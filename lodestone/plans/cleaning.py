@@ -32,6 +32,19 @@ def html_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", txt.clean_html(F.col("html")).alias("text"))
 
 
+def _sql_clean_benchmark(text: str) -> str:
+    t = _sql_replace(text, txt.BENCHMARK_BEFORE)
+    for entity, put in txt.ENTITIES:
+        t = f"replace({t}, '{entity}', '{put}')"
+    return f"CASE WHEN contains({text}, '<') THEN regexp_replace({_sql_replace(t, txt.BENCHMARK_AFTER)}, '^\\s+|\\s+$', '', 'g') ELSE {text} END"
+
+
+@query("html_clean_benchmark", f"SELECT page_id, {_sql_clean_benchmark('html')} AS text FROM pages")
+def html_clean_benchmark(spark, sf_dir):
+    """Pages as a benchmark corpus has them: every block tag, opening or closing, breaks a line."""
+    return table(spark, sf_dir, "pages").select("page_id", txt.clean_benchmark_html(F.col("html")).alias("text"))
+
+
 @query(
     "markup_share",
     f"""SELECT page_id, CAST(length(html) AS BIGINT) AS before, CAST(length({_sql_clean('html')}) AS BIGINT) AS after,

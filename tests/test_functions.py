@@ -205,3 +205,12 @@ def test_rules_are_read_strictly():
     for bad in (good.replace("    podstawa", "    unknown"), good.replace("od_dnia_nastepnego", "x"), re.sub("    dlugosc_dni.*\n", "", good)):
         with pytest.raises(rules.RuleError):
             rules.parse_rules(bad)
+
+
+def test_benchmark_cleaning_breaks_lines_at_opening_tags(spark):
+    rows = {
+        "<p>one</p><P class='x'>two &amp; three": "one\n\ntwo & three", "no tags &amp; so": "no tags &amp; so", "a<script>x < y</script>b": "a b",
+        "<b>bold</b>  \u00a0 text": "bold text", "<td>1<td>2<br/>3": "1\n2\n3", "a < b": "a < b", "": "", "<div><div><div>x": "x", None: None,
+    }
+    got = spark.createDataFrame([(k,) for k in rows], "t string").select("t", txt.clean_benchmark_html(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in got} == rows
