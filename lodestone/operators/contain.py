@@ -6,7 +6,8 @@ fixed size tells) become postings (doc_id, hash, position, start, end). Each quo
 candidates, and the other pieces have to stand at their distances. The joins are equi-joins on hashes and positions:
 no text takes part in them, and no pair of a text and a quotation is looked at that shares no piece.
 
-Tolerant matching compares texts with white space, case, quotes and dashes unified, and reports places in the original.
+Tolerant matching compares texts with white space, case, quotes and dashes unified, and reports places in the original;
+without ``variants`` only runs of ASCII white space and the case of single characters are unified.
 Two different pieces agree with a probability of 2**-64.
 """
 
@@ -28,6 +29,8 @@ SIZE = 16
 TABLE_BITS = 1 << 25
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VARIANTS = str.maketrans(*VARIANTS)
+#: The capitals whose lower-case form is longer or depends on what follows, by their simple forms.
+_SIMPLE = str.maketrans("İΣ", "iσ")
 
 
 class Powers:
@@ -43,12 +46,12 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def unified(text: str) -> tuple[str, np.ndarray]:
+def unified(text: str, variants: bool = True) -> tuple[str, np.ndarray]:
     """``text`` in the form that tolerant matching compares, and the place of each of its characters in ``text``."""
-    lower = text.translate(_VARIANTS).lower()
+    lower = text.translate(_VARIANTS if variants else _SIMPLE).lower()
     if len(lower) != len(text):  # a few capitals have longer lower-case forms
         lower = "".join(low if len(low := c.lower()) == 1 else c for c in text.translate(_VARIANTS))
-    blank = np.fromiter(map(str.isspace, lower), bool, len(lower))
+    blank = np.fromiter(map(str.isspace if variants else " \t\n\f\r".__contains__, lower), bool, len(lower))
     kept = np.flatnonzero(~blank | ~np.r_[True, blank[:-1]])
     if len(kept) and blank[kept[-1]]:
         kept = kept[:-1]
@@ -71,17 +74,17 @@ def rolling(text: str, size: int, powers: Powers) -> np.ndarray:
         return (x ^ (x >> np.uint64(30))).view(np.int64)
 
 
-def _form(text: str, tolerant: bool) -> tuple[str, np.ndarray]:
-    return unified(text) if tolerant else (text, np.arange(len(text)))
+def _form(text: str, tolerant: bool, variants: bool) -> tuple[str, np.ndarray]:
+    return unified(text, variants) if tolerant else (text, np.arange(len(text)))
 
 
-def _tiles(tolerant: bool):
+def _tiles(tolerant: bool, variants: bool):
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             rows = []
             for name, quoted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                form = _form(quoted or "", tolerant)[0]
+                form = _form(quoted or "", tolerant, variants)[0]
                 size = min(SIZE, len(form))
                 if size:
                     places = sorted({*range(0, len(form) - size + 1, size), len(form) - size})
@@ -94,12 +97,12 @@ def _tiles(tolerant: bool):
     return tiles
 
 
-def _places(tolerant: bool, sizes: list[int], bits: Broadcast):
+def _places(tolerant: bool, variants: bool, sizes: list[int], bits: Broadcast):
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, table = Powers(), np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                form, origin = _form(text or "", tolerant)
+                form, origin = _form(text or "", tolerant, variants)
                 for size in sizes:
                     found = rolling(form, size, powers)
                     place = found & (TABLE_BITS - 1)
@@ -125,17 +128,17 @@ def _bits(tiles: DataFrame) -> Broadcast:
     return tiles.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def occurrences(documents: DataFrame, quotations: DataFrame, tolerant: bool = True) -> DataFrame:
+def occurrences(documents: DataFrame, quotations: DataFrame, tolerant: bool = True, variants: bool = True) -> DataFrame:
     """(quote_id, doc_id, start, end) for every place of a quotation in a document, in code points of its text.
 
     ``documents``: (doc_id, text), ``quotations``: (quote_id, quoted), with unique ids. Empty quotations (after unifying, if ``tolerant``)
     stand nowhere.
     """
     quote, doc = quotations.schema["quote_id"].dataType.simpleString(), documents.schema["doc_id"].dataType.simpleString()
-    tiles = quotations.select("quote_id", "quoted").mapInArrow(_tiles(tolerant), f"quote {quote}, size int, at int, piece long, pieces int, last boolean")
+    tiles = quotations.select("quote_id", "quoted").mapInArrow(_tiles(tolerant, variants), f"quote {quote}, size int, at int, piece long, pieces int, last boolean")
     tiles = materialised(tiles, "quotation-pieces")
     sizes = [r[0] for r in tiles.select("size").distinct().collect()]  # at most SIZE numbers
-    places = documents.select("doc_id", "text").mapInArrow(_places(tolerant, sizes, _bits(tiles)), f"doc_id {doc}, piece long, at int, start int, end int")
+    places = documents.select("doc_id", "text").mapInArrow(_places(tolerant, variants, sizes, _bits(tiles)), f"doc_id {doc}, piece long, at int, start int, end int")
     places = materialised(places.join(tiles.select("piece").distinct(), "piece", "left_semi"), "piece-places")
     often = places.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
     rare = tiles.join(often, "piece").groupBy("quote").agg(F.min(F.struct("often", "at", "piece")).alias("rare"), F.count(F.lit(1)).alias("held"), F.first("pieces").alias("pieces"))
@@ -149,7 +152,7 @@ def occurrences(documents: DataFrame, quotations: DataFrame, tolerant: bool = Tr
     return whole.where("met = pieces").select(F.col("quote").alias("quote_id"), "doc_id", "start", "end")
 
 
-def first_occurrence(documents: DataFrame, quotations: DataFrame, tolerant: bool = True) -> DataFrame:
+def first_occurrence(documents: DataFrame, quotations: DataFrame, tolerant: bool = True, variants: bool = True) -> DataFrame:
     """(quote_id, doc_id, start, end): the first place of each quotation in each document that holds it."""
-    found = occurrences(documents, quotations, tolerant).groupBy("quote_id", "doc_id").agg(F.min(F.struct("start", "end")).alias("at"))
+    found = occurrences(documents, quotations, tolerant, variants).groupBy("quote_id", "doc_id").agg(F.min(F.struct("start", "end")).alias("at"))
     return found.select("quote_id", "doc_id", "at.start", "at.end")

@@ -17,7 +17,7 @@ ITEMS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["passage_locate"])
+@pytest.mark.parametrize("name", ["passage_locate", "statute_match"])
 def test_places_equal_the_sql_where_spellings_differ(spark, tmp_path, name):
     spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
