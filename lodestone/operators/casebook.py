@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import anchors
-from lodestone.operators.contain import occurrences
+from lodestone.operators.contain import counted, occurrences
 from lodestone.session import materialised
 
 MONTHS = "January February March April May June July August September October November December".split()
@@ -36,6 +36,8 @@ QUESTIONS = {
 }
 DATE = re.compile(r"(\w+)(\s+)(\d{1,2})(,?\s+\d{4})$")
 TRIES = 40
+#: Documents that a case gives on average in the first round of seeded order, and how much further each round goes.
+ROUND, GROWTH = 400, 16
 
 
 def gold_sentence(text: Column, least: int = 60) -> Column:
@@ -95,14 +97,31 @@ def sentence_anchors(sentences: DataFrame) -> DataFrame:
     return each.select(*sentences.columns, "turn", "anchor.kind", "anchor.value")
 
 
-def held_in_cases(documents: DataFrame, values: DataFrame) -> DataFrame:
-    """(case_id, value, places): how often each value of ``values`` (value) stands in the texts of each case.
+def in_seeded_order(documents: DataFrame, sentences: DataFrame, groups: DataFrame, most: int, seed: int, taken: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The first ``most`` rows of every group, documents in seeded order.
 
-    ``documents``: (case_id, doc_id, text).
+    ``groups``: (case_id, ...), ``taken(sentences, groups)`` gives all rows (of the columns of ``groups``, doc_id, start, ...) of these
+    sentences. A document's draw does not depend on its case, so documents under a bound come before all others: rounds raise
+    the bound, the last to all documents, and only groups that lack rows go on.
     """
-    quoted = values.select(F.col("value").alias("quote_id"), F.col("value").alias("quoted")).distinct()
-    found = occurrences(documents.select("doc_id", "text"), quoted, tolerant=False)
-    return found.join(documents.select("case_id", "doc_id"), "doc_id").groupBy("case_id", F.col("quote_id").alias("value")).agg(F.count(F.lit(1)).alias("places"))
+    key, draw = groups.columns, drawn(1, F.col("doc_id"), F.lit(seed))
+    order = Window.partitionBy(*key).orderBy("draw", "doc_id", "start")
+    first = lambda rows: rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+    left = groups = materialised(groups.join(documents.select("case_id").distinct(), "case_id", "left_semi").distinct().select(*key), "case-groups")
+    n, cases = documents.agg(F.count(F.lit(1)), F.count_distinct("case_id")).first()
+    low, upto, found = 0, min(1 << 32, (ROUND * cases << 32) // max(n, 1) + 1), None
+    while True:
+        some = sentences.where((draw >= low) & (draw < upto)).join(left.select("case_id").distinct(), "case_id", "left_semi")
+        rows = materialised(first(taken(some, left).withColumn("draw", draw)), "round")
+        found = rows if found is None else found.unionByName(rows)
+        low, upto = upto, min(1 << 32, upto * GROWTH)
+        if low == 1 << 32:
+            break
+        full = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+        left = materialised(groups.join(full, key, "left_anti"), "case-groups")
+        if left.isEmpty():
+            break
+    return first(found).drop("draw")
 
 
 def leakage_cases(documents: DataFrame, sentences: DataFrame, targets: DataFrame, most: int = 20, seed: int = 42) -> DataFrame:
@@ -112,12 +131,16 @@ def leakage_cases(documents: DataFrame, sentences: DataFrame, targets: DataFrame
     and the one that is asked. A sentence gives one case, of its first anchor that stands nowhere in the target's texts; a
     pair of cases gives its first ``most``, documents in seeded order.
     """
-    found = materialised(sentence_anchors(sentences.where(gold_sentence(F.col("text")))), "leak-anchors")
-    there = held_in_cases(documents, found).select(F.col("case_id").alias("target_id"), "value")
-    absent = found.join(targets, "case_id").join(there, ["target_id", "value"], "left_anti")
-    first = absent.groupBy("case_id", "target_id", "doc_id", "start").agg(F.min(F.struct("turn", "kind", "value")).alias("x")).select("*", "x.*")
-    order = Window.partitionBy("case_id", "target_id").orderBy(drawn(1, F.col("doc_id"), F.lit(seed)), "doc_id", "start")
-    taken = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+    def asked(some: DataFrame, groups: DataFrame) -> DataFrame:
+        found = sentence_anchors(some.where(gold_sentence(F.col("text")))).drop("end", "text")
+        found = materialised(found, "leak-anchors")
+        there = documents.join(groups.select(F.col("target_id").alias("case_id")).distinct(), "case_id", "left_semi")
+        there = counted(there, "case_id", found).select(F.col("case_id").alias("target_id"), "value")
+        absent = found.join(groups, "case_id").join(there, ["target_id", "value"], "left_anti")
+        return absent.groupBy("case_id", "target_id", "doc_id", "start").agg(F.min(F.struct("turn", "kind", "value")).alias("x")).select("case_id", "target_id", "doc_id", "start", "x.*")
+
+    taken = in_seeded_order(documents, sentences, targets.select("case_id", "target_id"), most, seed, asked)
     questions = F.create_map(*[F.lit(x) for pair in QUESTIONS.items() for x in pair])
     parts = [F.col(c).cast("string") for c in ("target_id", "doc_id", "start", "value")]
     return taken.select(
@@ -135,18 +158,21 @@ def matched_pairs(documents: DataFrame, sentences: DataFrame, pairs: int = 50, s
     seeded order.
     """
     spot = ["case_id", "doc_id", "start"]
-    found = sentence_anchors(sentences.where(gold_sentence(F.col("text"))))
-    found = materialised(found, "anchors")
-    unique = held_in_cases(documents, found).where("places = 1").select("case_id", "value")
-    served = materialised(found.join(unique, ["case_id", "value"]), "unique-anchors")
-    tried = served.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
-    tried = tried.withColumn("twin", perturbed("value", "kind", F.concat_ws("|", F.lit(str(seed)), "attempt")))
-    tried = materialised(tried.where("twin <> value"), "twins")
-    there = held_in_cases(documents, tried.select(F.col("twin").alias("value"))).select("case_id", F.col("value").alias("twin"))
-    free = tried.join(there, ["case_id", "twin"], "left_anti")
-    first = free.groupBy(*spot).agg(F.min(F.struct("turn", "attempt", "kind", "value", "twin", "end", "text")).alias("x")).select(*spot, "x.*")
-    order = Window.partitionBy("case_id").orderBy(drawn(1, F.col("doc_id"), F.lit(seed)), "doc_id", "start")
-    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pairs)
+
+    def served(some: DataFrame, groups: DataFrame) -> DataFrame:
+        found = materialised(sentence_anchors(some.where(gold_sentence(F.col("text")))).drop("text"), "anchors")
+        own = documents.join(groups, "case_id", "left_semi")
+        unique = counted(own, "case_id", found).where("places = 1").select("case_id", "value")
+        tried = found.join(unique, ["case_id", "value"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
+        tried = tried.withColumn("twin", perturbed("value", "kind", F.concat_ws("|", F.lit(str(seed)), "attempt")))
+        tried = materialised(tried.where("twin <> value"), "twins")
+        there = counted(own, "case_id", tried.select(F.col("twin").alias("value"))).select("case_id", F.col("value").alias("twin"))
+        free = tried.join(there, ["case_id", "twin"], "left_anti")
+        return free.groupBy(*spot).agg(F.min(F.struct("turn", "attempt", "kind", "value", "twin", "end")).alias("x")).select(*spot, "x.*")
+
+    first = materialised(in_seeded_order(documents, sentences, documents.select("case_id"), pairs, seed, served), "first-pairs")
+    texts = sentences.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(*spot, "end", "text")
+    first = first.join(texts, [*spot, "end"])
     name = lambda value, *more: F.substring(F.sha2(F.concat_ws("|", F.col("case_id").cast("string"), F.col("doc_id").cast("string"), F.col("start").cast("string"), value, *more), 256), 1, 12)
     first = first.withColumn("a", name("value")).withColumn("b", name("twin", F.lit("b")))
     questions = F.create_map(*[F.lit(x) for pair in QUESTIONS.items() for x in pair])

@@ -25,6 +25,10 @@ from lodestone.functions.text import VARIANTS
 from lodestone.session import materialised
 
 SIZE = 16
+#: Strings of up to so many characters are hashed whole where only their number in a text is asked for.
+WHOLE = 32
+#: Characters of texts looked at together there.
+CHUNK = 1 << 18
 #: Bits of the table of probable pieces: 4 MB, however many quotations there are.
 TABLE_BITS = 1 << 25
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,6 +62,13 @@ def unified(text: str, variants: bool = True) -> tuple[str, np.ndarray]:
     return "".join(" " if blank[i] else lower[i] for i in kept.tolist()) if blank.any() else lower, kept
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(30))).view(np.int64)
+
+
 def rolling(text: str, size: int, powers: Powers) -> np.ndarray:
     """64-bit hashes of all stretches of ``size`` characters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -68,10 +79,7 @@ def rolling(text: str, size: int, powers: Powers) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(points * up[:n], out=sums[1:])
-        x = (sums[size:] - sums[: n - size + 1]) * down[: n - size + 1] + np.uint64(size)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(30))).view(np.int64)
+        return _mixed((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1] + np.uint64(size))
 
 
 def _form(text: str, tolerant: bool, variants: bool) -> tuple[str, np.ndarray]:
@@ -156,3 +164,87 @@ def first_occurrence(documents: DataFrame, quotations: DataFrame, tolerant: bool
     """(quote_id, doc_id, start, end): the first place of each quotation in each document that holds it."""
     found = occurrences(documents, quotations, tolerant, variants).groupBy("quote_id", "doc_id").agg(F.min(F.struct("start", "end")).alias("at"))
     return found.select("quote_id", "doc_id", "at.start", "at.end")
+
+
+# Classes of characters: of two neighbouring ones and the last one of a string, most places of a text are told apart from it.
+_CLASS = np.array([5 if c.isspace() else 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else {"$": 3, ":": 4}.get(c, 6) for c in map(chr, range(128))] + [7], np.uint8)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value) -> (value, size, ends, piece): a string's length, the classes of its first two and its last character, its hash."""
+    powers = Powers()
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        kinds = [_CLASS[np.minimum(_points(v), 128)].astype(int).tolist() for v in values]
+        ends = [k[0] * 64 + k[min(1, len(k) - 1)] * 8 + k[-1] for k in kinds]
+        pieces = [int(rolling(v, len(v), powers)[0]) for v in values]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(list(map(len, values)), pa.int32()), pa.array(ends, pa.int32()), pa.array(pieces, pa.int64())], names=["value", "size", "ends", "piece"]
+        )
+
+
+def _held(shapes: list[tuple[int, int]], bits: Broadcast):
+    """(group, text) -> (group, piece) for every place of a text that may hold one of the strings of these ``shapes`` (size, ends)."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, table = Powers(), np.frombuffer(bits.value, np.uint8)
+        begins, allowed = np.zeros(64, bool), {}
+        for size, ends in shapes:
+            allowed.setdefault(size, np.zeros(512, bool))[ends] = True
+            begins[np.arange(8) + ends // 64 * 8 if size == 1 else ends // 8] = True
+        for batch in batches:
+            groups, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            part = (np.cumsum(sizes) - 1) // CHUNK  # a longer text comes alone or ends a part
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                points = _points("".join(texts[a:b]))
+                n = len(points)
+                ends, owner = np.cumsum(sizes[a:b]), np.repeat(np.arange(a, b), sizes[a:b])
+                kind = _CLASS[np.minimum(points, 128)]
+                at = np.flatnonzero(begins[kind * 8 + np.r_[kind[1:], kind[:1]]])
+                room = ends[owner[at] - a] - at
+                up, down = powers.of(n + 1)
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(n + 1, np.uint64)
+                    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+                    found, whose = [], []
+                    for size, fits in allowed.items():
+                        own = at[room >= size]
+                        second = kind[own + min(1, size - 1)].astype(np.int64)
+                        own = own[fits[kind[own].astype(np.int64) * 64 + second * 8 + kind[own + size - 1]]]
+                        piece = _mixed((sums[own + size] - sums[own]) * down[own] + np.uint64(size))
+                        place = piece & (TABLE_BITS - 1)
+                        own, piece = (x[(table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)] for x in (own, piece))
+                        found.append(piece)
+                        whose.append(owner[own])
+                yield pa.RecordBatch.from_arrays([groups.take(pa.array(np.concatenate(whose))), pa.array(np.concatenate(found))], names=["group", "piece"])
+
+    return held
+
+
+def counted(documents: DataFrame, group: str, values: DataFrame) -> DataFrame:
+    """(``group``, value, places): how often each of ``values`` (value) stands literally in the texts of each group that holds it.
+
+    ``documents``: (``group``, doc_id, text). No place is kept: hits are counted before they are shuffled. Strings longer than
+    ``WHOLE`` are looked up by their pieces. Empty ones stand nowhere.
+    """
+    kind = documents.schema[group].dataType.simpleString()
+    values = values.select("value").where("value <> ''").distinct()
+    short = values.where(F.length("value") <= WHOLE).mapInArrow(_wholes, "value string, size int, ends int, piece long")
+    short = materialised(short, "whole-strings")
+    shapes = [tuple(r) for r in short.select("size", "ends").distinct().collect()]  # at most WHOLE * 512
+    hits = documents.select(group, "text").mapInArrow(_held(shapes, _bits(short)), f"`group` {kind}, piece long") if shapes else None
+    long = materialised(values.where(F.length("value") > WHOLE).select(F.col("value").alias("quote_id"), F.col("value").alias("quoted")), "long-strings")
+    parts = []
+    if hits is not None:
+        places = hits.groupBy("group", "piece").agg(F.count(F.lit(1)).alias("places"))
+        parts.append(places.join(short.select("value", "piece"), "piece").select(F.col("group").alias(group), "value", "places"))
+    if hits is None or not long.isEmpty():
+        found = occurrences(documents.select("doc_id", "text"), long, tolerant=False).join(documents.select(group, "doc_id"), "doc_id")
+        parts.append(found.groupBy(group, F.col("quote_id").alias("value")).agg(F.count(F.lit(1)).alias("places")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -84,3 +84,38 @@ def test_facts_of_one_case_are_asked_where_they_do_not_stand(spark):
     assert got == [(1, 2, "date", date), (1, 2, "date", date), (1, 9, "amount", "$12,345.50"), (1, 9, "date", date)]
     assert len({r["id"] for r in rows}) == 4 and all(r["expected"] == "refuse" and r["anchor"] in r["question"] for r in rows)
     assert casebook.leakage_cases(files, sentences, targets, most=1).count() == 2
+
+
+def test_counts_of_strings_equal_plain_python(spark):
+    from lodestone.operators import contain
+
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice(["$1,2", "14 days", "3 days", "é", "1:96-cv-00001", " ", "漢", "aa"]) for _ in range(n))
+    docs = [(i % 3, i, text(rnd.choice([0, 2, 40, 400]))) for i in range(40)] + [(1, 90, None), (2, 91, "x" * 40)]
+    values = ["4 days", "$1,2", "a", "é", "漢", "1:96-cv-00001", "x" * 40, "x" * 32, "", "not there", *(docs[k][2][:k] for k in range(3, 40))]
+    got = contain.counted(spark.createDataFrame(docs, "case_id int, doc_id long, text string").repartition(3), "case_id", spark.createDataFrame([(v,) for v in values], "value string"))
+    every = lambda t, v: sum(t.startswith(v, k) for k in range(len(t)))
+    want = {(c, v): n for c in range(3) for v in set(values) - {""} if (n := sum(every(t or "", v) for k, _, t in docs if k == c))}
+    assert {(r["case_id"], r["value"]): r["places"] for r in got.collect()} == want
+
+
+def test_rounds_give_the_same_cases_and_write_no_more_than_they_need(spark, monkeypatch):
+    line = "The clerk opened docket 2:96-cv-{:05d} for the appeal of the defendant against the order of the court."
+    rows = [(k % 2, k, line.format(k if k % 2 else k % 300)) for k in range(3000)]  # in one case all dockets stand once, in the other several times
+    files = spark.createDataFrame([*rows, (0, 5000, line.format(99_999))], "case_id long, doc_id long, text string")
+    sentences = files.select("case_id", "doc_id", F.lit(0).alias("start"), F.length("text").alias("end"), "text")
+    written, keep = [], casebook.materialised
+
+    def counted(df, name):
+        written.append((name, (out := keep(df, name)).count(), out.columns))
+        return out
+
+    monkeypatch.setattr(casebook, "materialised", counted)
+    monkeypatch.setattr(casebook, "ROUND", 40, raising=False)
+    pairs = lambda: sorted(map(repr, casebook.matched_pairs(files, sentences, pairs=10, tries=4).collect()))
+    leaks = lambda: sorted(map(repr, casebook.leakage_cases(files, sentences, files.select("case_id", (1 - F.col("case_id")).alias("target_id")).distinct(), 10).collect()))
+    some = pairs(), leaks()
+    assert len(some[0]) == 2 * 11 and len(some[1]) == 20
+    assert sum(n for name, n, _ in written if name == "twins") < 4 * 1500 and not any("text" in c for name, _, c in written if name in ("anchors", "twins", "leak-anchors"))
+    monkeypatch.setattr(casebook, "ROUND", 10_000, raising=False)
+    assert (pairs(), leaks()) == some
