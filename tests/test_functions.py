@@ -214,3 +214,18 @@ def test_benchmark_cleaning_breaks_lines_at_opening_tags(spark):
     }
     got = spark.createDataFrame([(k,) for k in rows], "t string").select("t", txt.clean_benchmark_html(F.col("t")).alias("c")).collect()
     assert {r["t"]: r["c"] for r in got} == rows
+
+
+def test_a_text_is_searched_once_for_the_groups_of_a_pattern(spark):
+    texts = [
+        "Due 10/6/2016 and on the 6th day of October 2016, 14 days, art. 445 § 12, art. 12345", "x18 U.S.C. §§ 31422 (e), 6 Oct. 2016day 7 lata", "II Ca 12/2016 IX K 3/16 2:18-cr-004223",
+        "May 5, 2016, may  5th 20161 1.2.2016.3.4.2017", "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = {anchors.DAY_MONTH: 3, anchors.MONTH_DAY: 3, anchors.NUMERIC: 3, anchors.ISO: 3, anchors.DOCKET_PL: 4, anchors.DOCKET_US: 3, anchors.STATUTE_PL: 2, anchors.STATUTE_US: 3, anchors.PERIOD: 2}
+    for pattern, n in patterns.items():
+        plain = F.arrays_zip(*[F.regexp_extract_all("t", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, n + 1)])
+        rows = df.select(anchors._matches(F.col("t"), pattern, n).alias("a"), plain.alias("b")).collect()
+        assert [r["a"] and [tuple(x) for x in r["a"]] for r in rows] == [r["b"] and [tuple(x) for x in r["b"]] for r in rows], pattern
+    plan = df.select(anchors.dates(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") < 12
