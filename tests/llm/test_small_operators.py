@@ -546,6 +546,22 @@ def test_lines_of_one_template(spark):
     assert len(set(found.values())) >= 120
 
 
+def test_crowded_bands_lose_no_link(spark):
+    """A family just under the similarity, far more lines than a band compares one by one, with pairs in it that link."""
+    rnd = random.Random(11)
+    template = "the clerk {} read the minutes of the last meeting of the board aloud, {} moved that they be approved as they stand, and {} seconded the motion"
+    slot = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    texts = []
+    for _ in range(250):
+        a, b = slot(), slot()
+        texts += [template.format(a, b, slot()), template.format(a, b, slot())] + [template.format(slot(), slot(), slot())]
+    links = line_links(texts)
+    assert {(3 * k, 3 * k + 1) for k in range(250)} <= links and len(links) < 300
+    found = {r["doc_id"]: r["component"] for r in line_dedup.line_verdicts(docs_frame(spark, [(i, x, "s") for i, x in enumerate(texts)])).collect()}
+    assert all(found[a] == found[b] for a, b in links)
+    assert len(set(found.values())) >= len(texts) - len(links)
+
+
 def test_lines_without_spaces(spark):
     rnd = random.Random(7)
     texts = []
