@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +57,8 @@ def corpus_stats(units: DataFrame, text: str = "text", lang: Column | str | None
     )
 
 
-def bm25(units: DataFrame, unit: str, questions: DataFrame, question: str, lang: Column | str | None = None) -> DataFrame:
-    """(question, unit, score) with score > 0, rounded to six places; repeated question terms count each time.
-
-    ``questions`` has (question, text). Only postings of terms that some question asks reach the shuffle.
-    """
+def _bm25_tables(units: DataFrame, unit: str, questions: DataFrame, question: str, lang: Column | str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(asked, tf, df, size) as ``bm25_scores`` takes them; only postings of terms that some question asks reach the shuffle."""
     asked = (
         questions.select(F.col(question), F.explode(tokens(F.col("text"), lang)).alias("term"))
         .groupBy(question, "term")
@@ -70,7 +70,23 @@ def bm25(units: DataFrame, unit: str, questions: DataFrame, question: str, lang:
     size = counted.agg(F.sum("tf").alias("words")).join(units.agg(F.count(F.lit(1)).alias("n_units")))
     size = size.select("n_units", (F.coalesce("words", F.lit(0)) / F.greatest("n_units", F.lit(1))).alias("avg_len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return bm25_scores(asked, tf, df, size, question, unit)
+    return asked, tf, df, size
+
+
+def _gain(times: Column) -> Column:
+    """What a term asked ``times`` times adds to a unit's score, from df, tf, unit_len, n_units and avg_len."""
+    n, avg = F.col("n_units"), F.col("avg_len")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = 1 - B + B * F.col("unit_len") / F.when(avg > 0, avg).otherwise(1.0)
+    return times * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
+
+
+def bm25(units: DataFrame, unit: str, questions: DataFrame, question: str, lang: Column | str | None = None) -> DataFrame:
+    """(question, unit, score) with score > 0, rounded to six places; repeated question terms count each time.
+
+    ``questions`` has (question, text). A row for every pair that shares a term; ``bm25_top_k`` makes only the best of them.
+    """
+    return bm25_scores(*_bm25_tables(units, unit, questions, question, lang), question, unit)
 
 
 def bm25_scores(asked: DataFrame, tf: DataFrame, df: DataFrame, size: DataFrame, question: str, unit: str) -> DataFrame:
@@ -78,20 +94,75 @@ def bm25_scores(asked: DataFrame, tf: DataFrame, df: DataFrame, size: DataFrame,
 
     ``df``: (term, df), ``size``: one row (n_units, avg_len).
     """
-    n, avg = F.col("n_units"), F.col("avg_len")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1 - B + B * F.col("unit_len") / F.when(avg > 0, avg).otherwise(1.0)
-    gain = F.col("times") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
     return (
         asked.join(df, "term")
         .join(tf, "term")
         .join(F.broadcast(size))
         .groupBy(question, unit)
-        .agg(F.round(F.sum(gain), 6).alias("score"))
+        .agg(F.round(F.sum(_gain(F.col("times"))), 6).alias("score"))
         .where("score > 0")
     )
 
 
+def _ordered(ids: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values of ``ids``, ascending with null first, and the place of each of ``ids`` among them."""
+    coded = ids.combine_chunks().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), place[coded.indices.to_numpy()]
+
+
+def _best_of_block(unit: str, question: str, k: int):
+    """Postings (unit, term, gain) and asked terms (question, term, times) of a block each -> its ``k`` best units a question."""
+
+    def best(held: pa.Table, asked: pa.Table) -> pa.Table:
+        units, row = _ordered(held[unit])
+        questions, side = _ordered(asked[question])
+        score = np.zeros((len(questions), len(units)))
+        gain, times = held["gain"].to_numpy(), asked["times"].to_numpy()
+        ours, theirs = held["term"].to_numpy(), asked["term"].to_numpy()
+        by_term, by_asked = np.argsort(ours, kind="stable"), np.argsort(theirs, kind="stable")
+        terms = np.intersect1d(ours, theirs)
+        spans = [np.searchsorted(x[by], terms, side=s).tolist() for x, by in ((ours, by_term), (theirs, by_asked)) for s in ("left", "right")]
+        for a, b, c, d in zip(*spans, strict=True):
+            some, who = by_term[a:b], by_asked[c:d]
+            score[np.ix_(side[who], row[some])] += times[who][:, None] * gain[some]
+        score = np.round(score, 6)
+        least = np.partition(score, -k, axis=1)[:, -k] if k < len(units) else np.zeros(len(questions))
+        q, u = np.nonzero((score >= least[:, None]) & (score > 0))
+        order = np.lexsort((u, -score[q, u], q))  # equal scores by id: of them all, the first k stay
+        order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
+        q, u = q[order], u[order]
+        return pa.table({question: questions.take(pa.array(q)), unit: units.take(pa.array(u)), "score": score[q, u]})
+
+    return best
+
+
+def bm25_top_k(
+    units: DataFrame, unit: str, questions: DataFrame, question: str, k: int, lang: Column | str | None = None, block: tuple[int, int] = (4096, 1024)
+) -> DataFrame:
+    """(question, unit, score, rank): the first ``k`` rows of ``bm25`` for every question, ties by ascending id; exact.
+
+    Postings are dealt into blocks of some ``block[0]`` units, asked terms into blocks of some ``block[1]`` questions; each pair of
+    blocks is a table of scores in one task, of which ``k`` rows a question remain. So no row is made for a pair that merely
+    shares a term; a posting travels once for each block of questions and the other way round.
+    """
+    asked, tf, df, size = _bm25_tables(units, unit, questions, question, lang)
+    n_units, avg_len = size.first()  # one row
+    vocabulary = materialised(df.withColumn("number", F.monotonically_increasing_id()), "asked-vocabulary")
+    rows, sides = max(1, -(-n_units // block[0])), max(1, -(-questions.count() // block[1]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    sized = tf.join(vocabulary, "term").withColumns({"n_units": F.lit(n_units), "avg_len": F.lit(avg_len)})
+    left = sized.select(dealt(unit, rows).alias("row"), every(sides).alias("side"), unit, F.col("number").alias("term"), _gain(F.lit(1)).alias("gain"))
+    right = asked.join(vocabulary, "term").select(every(rows).alias("row"), dealt(question, sides).alias("side"), question, F.col("number").alias("term"), "times")
+    kinds = (right.schema[question].dataType.simpleString(), left.schema[unit].dataType.simpleString())
+    pairs = left.groupBy("row", "side").cogroup(right.groupBy("row", "side"))
+    found = pairs.applyInArrow(_best_of_block(unit, question, k), f"{question} {kinds[0]}, {unit} {kinds[1]}, score double")
+    return top_k(found, question, "score", k, unit)
+
+
 def top_k(ranked: DataFrame, by: str, score: str, k: int, *ties: str) -> DataFrame:
     """The first ``k`` rows of every group with their rank, ties broken by ``ties`` ascending."""
     order = Window.partitionBy(by).orderBy(F.desc(score), *ties)

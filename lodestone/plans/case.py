@@ -54,7 +54,7 @@ def _valued(case, questions):
 
 
 def _chosen(case, questions, valued):
-    ranked = retrieve.bm25(case.select("doc_id", "text"), "doc_id", questions.select("question_id", "text"), "question_id", "en")
+    ranked = retrieve.bm25_top_k(case.select("doc_id", "text"), "doc_id", questions.select("question_id", "text"), "question_id", 2 * DOCUMENTS, "en")
     by_value = valued.select("question_id", "doc_id", F.col("doc_id").alias("position"))
     return materialised(answer.chosen_documents(by_value, ranked.withColumn("position", F.col("doc_id")), DOCUMENTS), "chosen-documents")
 

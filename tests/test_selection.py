@@ -117,3 +117,33 @@ def test_budget_walk_equals_plain_python(spark):
     for r in retrieve.select_sentences(df, budget=700).orderBy("question_id", "number").collect():
         got.setdefault(r["question_id"], []).append((r["doc_id"], r["start"], r["phase"]))
     assert got == want
+
+
+def test_the_best_by_blocks_equal_the_ranking_of_all_pairs(spark):
+    rnd = random.Random(8)
+    words = [f"word{chr(97 + i)}" for i in range(26)]
+    text = lambda n: " ".join(rnd.choice(words[: rnd.choice([3, 26])]) for _ in range(n))
+    docs = [(i, text(rnd.choice([1, 4, 9, 30]))) for i in range(60)]
+    docs += [(i + 100, t) for i, t in docs[:25]] + [(200, None), (201, ""), (None, docs[3][1]), (None, docs[4][1])]
+    asked = [(i, text(rnd.choice([1, 5, 20]))) for i in range(30)] + [(40, None), (41, "zzzz"), (42, "worda worda worda wordb")]
+    docs, asked = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(asked, "item_id long, text string")
+    rows = lambda df: sorted((tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()))
+    for k in (3, 200):
+        want = rows(retrieve.top_k(retrieve.bm25(docs, "doc_id", asked, "item_id", "en"), "item_id", "score", k, "doc_id"))
+        for block in ((4096, 1024), (7, 5)):
+            assert rows(retrieve.bm25_top_k(docs, "doc_id", asked, "item_id", k, "en", block)) == want
+    assert retrieve.bm25_top_k(docs.limit(0), "doc_id", asked, "item_id", 3, "en").count() == 0
+    assert retrieve.bm25_top_k(docs, "doc_id", asked.limit(0), "item_id", 3, "en").count() == 0
+
+
+def test_document_choice_makes_no_row_for_a_pair_that_merely_shares_a_word(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestone.plans import case
+
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("common words stand here "), F.col("id").cast("string")).alias("text"))
+    asked = spark.range(40).select(F.col("id").alias("question_id"), F.lit("common words asked").alias("text"))
+    ranked = []
+    monkeypatch.setattr(case.answer, "chosen_documents", lambda by_value, by_score, k: ranked.append(by_score) or by_score)
+    case._chosen(docs, asked, spark.createDataFrame([], "question_id long, doc_id long, start int"))
+    assert ranked[0].count() == 40 * 2 * case.DOCUMENTS  # of 2000 pairs
