@@ -4,8 +4,9 @@ A document's cut depends on its id, the places of its code points on its text al
 distinct texts: texts are grouped by the SHA-256 of their whole content, and each group gets one list of code point
 boundaries (byte offsets in UTF-8) in Elias-Fano form. A task makes the list of a text once, however many copies it
 reads, and of the lists of several tasks one is kept. The lists are some two bits a code point and compress to almost
-nothing where a text is ASCII. Documents are then joined to their lists by the digest, which moves every text once;
-a text that a third of the documents have is a hot key that adaptive execution splits. Both boundaries of a cut
+nothing where a text is ASCII. Documents that are cut are then joined to their lists by the digest, which moves each of their
+texts once (a plain document has no boundary to look up and stays where it is read); a text that a third of the documents have
+is a hot key that adaptive execution splits. Both boundaries of a cut
 are selected in the list: a directory holds the place of every 256th one bit, so a selection reads a few bytes.
 
 Hashes, forms and the way back (``restored``) are expressions.
@@ -103,9 +104,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batch, "text", TEXT_BYTES):
             outputs = []
             for text, form, first, second, *held in zip(*[part.column(c).to_pylist() for c in names], strict=True):
-                if form == "plain":
-                    outputs.append(text)
-                    continue
                 a, b = select(first, *held), select(second, *held)
                 pieces = (p, text[:a], s, text[b:]) if form == "psm" else (s, text[b:], p, text[:a])
                 outputs.append(b"".join((*pieces, m, text[a:b])))
@@ -123,27 +121,22 @@ def fill_in_middle(docs: DataFrame, seed: str = "1", plain: int = PLAIN, suffix_
     text = text_or_empty(F.col("text").cast("string"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("marked", F.col("text").rlike(f"{PREFIX}|{SUFFIX}|{MIDDLE}"))
-    base = base.withColumn("text", F.col("text").cast("binary"))
-    index = distinct_text_index(base)
     drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    draw = lambda k: F.conv(F.substring("drawn", 8 * k - 7, 8), 16, 10).cast("long")
+    draw = lambda k: F.conv(F.substring(drawn, 8 * k - 7, 8), 16, 10).cast("long")
     place = lambda k: F.pmod(draw(k), F.col("n") + 1)
-    form = (
-        F.when((F.col("n") == 0) | F.col("marked") | (draw(3) % 100 >= 100 - plain), "plain")
-        .when(draw(4) % 100 < suffix_first, "spm")
-        .otherwise("psm")
-    )
-    rows = base.join(index, "digest").withColumn("drawn", drawn)
-    rows = rows.select(
+    plainly = (F.col("text") == "") | F.col("marked") | (draw(3) % 100 >= 100 - plain)
+    kept = base.where(plainly).select(
+        "doc_id", F.length("text").cast("long").alias("n"), F.lit("plain").alias("form"), F.lit(None).cast("long").alias("first"),
+        F.lit(None).cast("long").alias("second"), F.col("text").alias("output"),
+    )
+    base = base.where(~plainly).select("doc_id", "digest", F.col("text").cast("binary").alias("text"))
+    form = F.when(draw(4) % 100 < suffix_first, "spm").otherwise("psm")
+    rows = base.join(distinct_text_index(base), "digest").select(
         "doc_id", "text", "n", form.alias("form"), F.least(place(1), place(2)).alias("first"), F.greatest(place(1), place(2)).alias("second"),
         "low_bits", "low", "high", "marks",
     )
-    out = rows.mapInArrow(_cut, "doc_id long, n long, form string, first long, second long, output string")
-    whole = F.col("form") == "plain"
-    return out.select(
-        "doc_id", "n", "form", F.when(~whole, F.col("first")).alias("prefix_chars"),
-        F.when(~whole, F.col("second") - F.col("first")).alias("middle_chars"), "output",
-    )
+    out = rows.mapInArrow(_cut, "doc_id long, n long, form string, first long, second long, output string").unionByName(kept)
+    return out.select("doc_id", "n", "form", F.col("first").alias("prefix_chars"), (F.col("second") - F.col("first")).alias("middle_chars"), "output")
 
 
 def restored(output: Column | str, form: Column | str) -> Column:

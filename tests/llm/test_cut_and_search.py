@@ -59,6 +59,18 @@ def test_a_distinct_text_has_one_list(spark):
     assert fill_middle.distinct_text_index(rows.repartition(7)).count() == 3
 
 
+def test_plain_documents_take_no_part_in_the_join(spark, monkeypatch):
+    rows = [(i, f"text {i} ąb😀" * (i % 5)) for i in range(80)] + [(100, None), (101, "a <S> b"), (102, "<P>"), (None, "none")]
+    seen = []
+    index = fill_middle.distinct_text_index
+    monkeypatch.setattr(fill_middle, "distinct_text_index", lambda docs: seen.append(docs.count()) or index(docs))
+    out = fill_middle.fill_in_middle(documents(spark, rows)).collect()
+    assert seen == [sum(r["form"] != "plain" for r in out)] and seen[0] < 80 and len(out) == len(rows)
+    plain = {(r["doc_id"], r["n"], r["prefix_chars"], r["middle_chars"], r["output"]) for r in out if r["form"] == "plain"}
+    texts = dict(rows)
+    assert plain == {(d, len(texts[d] or ""), None, None, texts[d] or "") for d, *_ in plain} and {100, 101, 102} <= {d for d, *_ in plain}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_every_boundary_is_selected(seed):
     rnd = random.Random(seed)
