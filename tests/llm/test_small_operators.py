@@ -695,3 +695,16 @@ def test_classifiers_without_labels_or_texts(spark, module, fit, score):
 
 def test_unused_names(spark):
     assert unused("A", spark.createDataFrame([], "a int, a_ int")) == "A__"
+
+
+def test_bands_are_exchanged_once(spark, monkeypatch):
+    from lodestone.llm import line_dedup
+
+    plans = []
+    kept = line_dedup.scratch
+    monkeypatch.setattr(line_dedup, "scratch", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name))
+    rows = [(i, f"the same line again and again, number {i % 3}\nanother line {i}") for i in range(12)]
+    verdicts = line_dedup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(verdicts) == 24
+    plan = dict(plans)["line-postings"]
+    assert plan.count("explode(bands") == 1 and "Window" in plan
