@@ -576,6 +576,68 @@ def test_lines_without_spaces(spark):
     assert len(set(found.values())) >= 120
 
 
+def band_batches(size, **columns):
+    import numpy as np
+    import pyarrow as pa
+
+    arrays = [pa.array(np.asarray(c, np.int64)) for c in columns.values()]
+    for at in range(0, len(arrays[0]), size):
+        yield pa.RecordBatch.from_arrays([c.slice(at, size) for c in arrays], names=list(columns))
+
+
+def test_lines_meet_their_bands_hubs_across_batches():
+    rnd = random.Random(3)
+    rows = sorted((rnd.randrange(40), lid, rnd.choice((5, 2**62 - 9))) for lid in range(300))
+    for size in (1, 7, 1000):
+        batches = band_batches(size, band=[r[0] for r in rows], lid=[r[1] for r in rows], sketch_0=[r[2] for r in rows], sketch_1=[r[2] for r in rows])
+        found = {(p["a"], p["b"]) for b in line_dedup._with_hubs(batches) for p in b.to_pylist()}
+        expected = set()
+        for band in range(40):
+            own = [r for r in rows if r[0] == band]
+            expected |= {(hub[1], r[1]) for k, hub in enumerate(own[: line_dedup.HUBS]) for r in own[k + 1 :] if r[2] == hub[2]}
+        assert found == expected
+
+
+def test_a_band_with_too_many_lines_is_not_held():
+    """It goes to the trees row by row, whole and once; bands of one component give nothing, small ones their pairs."""
+    many = line_dedup.BAND_LINES + 500
+    band = [1, 1, 2, 2] + [5] * many + [7, 7]
+    lid = list(range(len(band)))
+    component = [100, 101, 102, 102, *lid[4:-2], 104, 105]
+    for size in (3, 1000, 100_000):
+        batches = band_batches(size, band=band, component=component, lid=lid, sketch_0=[9] * len(band), sketch_1=[9] * len(band))
+        rows = [tuple(r.values()) for b in line_dedup._all_in_band(batches) for r in b.to_pylist()]
+        assert {r for r in rows if r[2] is None} == {(0, 1, None), (lid[-2], lid[-1], None)}
+        assert sorted(r for r in rows if r[2] is not None) == [(k, k, 5) for k in lid[4:-2]] and len(rows) == many + 2
+
+
+def test_a_blocks_shingles_become_weighted_tokens():
+    rnd = random.Random(9)
+    sets = [set(range(60)) - {rnd.randrange(60) for _ in range(12)} | {100 + 10 * k + j for j in range(rnd.choice((2, 30)))} for k in range(20)]
+    merged = line_dedup._merged([(k, k, len(s), sorted(s), [], 0) for k, s in enumerate(sets)])
+    shared = [{x for x in s if sum(x in t for t in sets) > 1} for s in sets]
+    assert [r[0] for r in merged] == [k for k, s in enumerate(sets) if len(s) - len(shared[k]) <= len(s) // 4]
+    for a in merged:
+        for b in merged:
+            overlap = sum(w for t, w in zip(a[3], a[4], strict=True) if t in b[3])
+            assert overlap == (len(sets[a[0]] & sets[b[0]]) if a is not b else len(shared[a[0]]))
+
+
+def test_crowded_lines_make_no_row_for_a_shingle(spark, monkeypatch):
+    plans = []
+    kept = line_dedup.scratch
+    monkeypatch.setattr(line_dedup, "scratch", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    texts = [f"the same sentence stands here with another number at its end, {n} of {m}" for n in range(3) for m in range(3)]
+    texts.append("the other sentence")
+    crowd = spark.createDataFrame([(1, k, k) for k in range(10)], "key long, sid long, component long")
+    found = line_dedup._crowd_links(crowd, spark.createDataFrame(list(enumerate(texts)), "lid long, line string")).collect()
+    joined = {k: k for k in range(10)}
+    for a, b in ((r["a"], r["b"]) for r in found):
+        joined = {k: joined[min(a, b)] if c == joined[max(a, b)] else c for k, c in joined.items()}
+    assert len({joined[k] for k in range(9)}) == 1 and joined[9] == 9
+    assert plans and not any("shingles" in p for p in plans)
+
+
 # -- components, models ----------------------------------------------------------
 
 
