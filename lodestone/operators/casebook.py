@@ -190,14 +190,14 @@ def matched_pairs(documents: DataFrame, sentences: DataFrame, pairs: int = 50, s
     return materialised(cite.unionByName(refuse), "matched-pairs")
 
 
-CLAUSE = re.compile(r"[^\n.!?]{20,400}")
+CLAUSE = re.compile(r"[^\n.!?]+")
 CLAUSES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
 @F.pandas_udf(CLAUSES)
 def clauses(text: pd.Series) -> pd.Series:
-    """Stretches between sentence marks and line ends, of 20 to 400 characters; only those with a digit."""
-    return text.map(lambda t: [(m.start(), m.end(), m[0]) for m in CLAUSE.finditer(t or "") if re.search("[0-9]", m[0])])
+    """Stretches between sentence marks and line ends, of any length; only those with a digit, without which there is no value."""
+    return text.map(lambda t: [(m.start(), m.end(), m[0]) for m in CLAUSE.finditer(t or "") if re.search(r"\d", m[0])])
 
 
 def united(spans: DataFrame, *key: str) -> DataFrame:
@@ -212,7 +212,7 @@ def true_places(documents: DataFrame, cases: DataFrame, margin: int = 400) -> Da
     """(id, doc_id, start, end): every stretch of a case's documents that may truly be cited for its anchor.
 
     ``cases``: (id, case_id, anchor), ``documents``: (case_id, doc_id, text). Literal hits count with a quarter of ``margin``
-    before and ``margin`` after them, other spellings of the value with the clause they stand in.
+    before and ``margin`` after them, other spellings of the value with the whole clause they stand in, however short or long.
     """
     quoted = cases.select(F.col("anchor").alias("quote_id"), F.col("anchor").alias("quoted")).distinct()
     hits = occurrences(documents.select("doc_id", "text"), quoted, tolerant=False).withColumnRenamed("quote_id", "anchor")

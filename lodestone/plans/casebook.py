@@ -107,13 +107,12 @@ def leakage_cases(spark, sf_dir):
 @query(
     "anchor_occurrences",
     rf"""WITH {SQL_PAIRS},
-    cc AS (SELECT *, CASE kind WHEN 'date' THEN strftime(strptime(value, '%B %-d, %Y'), '%Y-%m-%d') ELSE value END AS canon FROM b WHERE kind <> 'amount'),
+    cc AS (SELECT *, CASE kind WHEN 'date' THEN strftime(strptime(value, '%B %-d, %Y'), '%Y-%m-%d') ELSE value END AS canon FROM b),
     li AS (SELECT ida AS id, doc_id, greatest(0, start + strpos(text, value) - 1 - 100) AS s, least(length(body), start + strpos(text, value) - 1 + length(value) + 400) AS t FROM cc JOIN f USING (case_id, doc_id)),
     sg AS (SELECT case_id, doc_id, unnest(string_split_regex(body, '[\n.!?]')) AS seg, generate_subscripts(string_split_regex(body, '[\n.!?]'), 1) AS n FROM f),
     so AS (SELECT *, sum(length(seg) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(seg) - 1 AS off FROM sg),
-    ch AS (SELECT case_id, doc_id, off + 400 * c AS s, substr(seg, CAST(400 * c + 1 AS BIGINT), 400) AS piece FROM (SELECT *, unnest(range(0, length(seg) // 400 + 1)) AS c FROM so)),
-    va AS (SELECT case_id, doc_id, s, s + length(piece) AS t, unnest(list_concat(list_transform(regexp_extract_all(piece, '[A-Z][a-z]+ \d{{1,2}}, \d{{4}}'), lambda x: strftime(strptime(x, '%B %-d, %Y'), '%Y-%m-%d')),
-      list_concat(regexp_extract_all(piece, '\d{{1,3}} days'), regexp_extract_all(piece, '\d:\d{{2}}-cv-\d{{5}}')))) AS canon FROM ch WHERE length(piece) >= 20),
+    va AS (SELECT case_id, doc_id, off AS s, off + length(seg) AS t, unnest(list_concat(list_transform(regexp_extract_all(seg, '[A-Z][a-z]+ \d{{1,2}}, \d{{4}}'), lambda x: strftime(strptime(x, '%B %-d, %Y'), '%Y-%m-%d')),
+      list_concat(regexp_extract_all(seg, '\d{{1,3}} days'), regexp_extract_all(seg, '\d:\d{{2}}-cv-\d{{5}}')))) AS canon FROM so),
     al AS (SELECT id, doc_id, s, t FROM li UNION ALL SELECT DISTINCT ida, va.doc_id, va.s, va.t FROM cc JOIN va USING (case_id, canon)),
     fr AS (SELECT *, CASE WHEN s > max(t) OVER (PARTITION BY id, doc_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM al),
     il AS (SELECT *, sum(fresh) OVER (PARTITION BY id, doc_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS island FROM fr)
@@ -122,7 +121,7 @@ def leakage_cases(spark, sf_dir):
 def anchor_occurrences(spark, sf_dir):
     """Every stretch that may truly be cited for an answerable case's anchor, in its own or any other spelling."""
     files, pairs = _pairs(spark, sf_dir)
-    cases = pairs.where("expected = 'cite' and kind <> 'amount'").select("id", "case_id", "anchor")
+    cases = pairs.where("expected = 'cite'").select("id", "case_id", "anchor")
     return casebook.true_places(files, cases)
 
 

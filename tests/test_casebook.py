@@ -49,6 +49,32 @@ def test_places_are_united_and_found_in_any_spelling(spark):
     assert (row["id"], row["doc_id"]) == ("a", 10) and row["start"] <= at - 100 and row["end"] == at + 15 + 400
 
 
+def test_values_are_found_in_short_and_long_clauses(spark):
+    """A clause counts whole: shorter than a line, longer than a page, and with the value anywhere in it."""
+    short, long = "Due 2 January 1996. ", "and so on " * 39 + "as of 2 January 1996 and so on " + "and so on " * 60
+    ends = "y" * 790 + ", 2 January 1996"
+    texts = [(1, 10, f"Heard. {short}Closed."), (1, 20, f"Heard. {long}. Closed."), (1, 30, ends), (1, 40, f"at 1 $ {'7' * 5000}! 2 Jan 1996"), (1, 50, "3 January 1996"), (1, 60, None)]
+    files = spark.createDataFrame(texts, "case_id int, doc_id long, text string")
+    cases = spark.createDataFrame([("a", 1, "January 2, 1996"), ("b", 1, "$7,000.50")], "id string, case_id int, anchor string")
+    got = sorted((r["id"], r["doc_id"], r["start"], r["end"]) for r in casebook.true_places(files, cases).collect())
+    assert got == [("a", 10, 6, 25), ("a", 20, 6, 7 + len(long)), ("a", 30, 0, len(ends)), ("a", 40, 5008, 5019)]
+
+
+def test_cases_of_amounts_have_places_as_in_the_sql(spark, sf):
+    import duckdb
+
+    from lodestone import registry
+
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    found = registry.queries()["anchor_occurrences"](spark, sf)
+    got = sorted(map(tuple, found.select("id", "doc_id", "start", "end").collect()))
+    assert got == sorted(con.execute(registry.oracle_sql()["anchor_occurrences"]).fetchall())
+    amounts = con.execute(f"select id from ({registry.oracle_sql()['matched_pairs']}) where expected = 'cite' and kind = 'amount'").fetchall()
+    assert amounts and {a for a, in amounts} <= {g[0] for g in got}
+
+
 def test_united_spans(spark):
     rnd = random.Random(2)
     spans = [(rnd.randrange(3), a, a + rnd.randrange(1, 30)) for a in (rnd.randrange(1000) for _ in range(200))]
