@@ -229,3 +229,14 @@ def test_a_text_is_searched_once_for_the_groups_of_a_pattern(spark):
         assert [r["a"] and [tuple(x) for x in r["a"]] for r in rows] == [r["b"] and [tuple(x) for x in r["b"]] for r in rows], pattern
     plan = df.select(anchors.dates(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") < 12
+
+
+def test_months_are_found_as_without_looking_ahead(spark):
+    plain = r"(?iu)\b" + anchors._NAME + r"\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
+    assert anchors.MONTH_DAY != plain
+    rnd = random.Random(8)
+    names = ["Październik", "paZDZiernika", "maj", "May", "Sept", "sept.", "SEPTEMBER", "ſept", "mayor", "Junes", "december", "kwiecień", "of", "é", "x_May"]
+    text = lambda: "".join(rnd.choice(names) + rnd.choice([" ", ".  ", ". ", ".", "\n", "\u00a0", "", "-"]) + rnd.choice(["2", "31st", "3rd,", "12, ", "123", ""]) + rnd.choice([" ", "", ", "]) + rnd.choice(["1996", "96", "20181 "]) + rnd.choice([" ", "", ";"]) for _ in range(12))
+    texts = spark.createDataFrame([(text(),) for _ in range(400)] + [(None,), ("",)], "t string")
+    both = texts.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(c) for c, p in (("x", anchors.MONTH_DAY), ("y", plain))]).collect()
+    assert all(r["x"] == r["y"] for r in both) and sum(len(r["x"] or ()) for r in both) > 100
