@@ -770,3 +770,30 @@ def test_bands_are_exchanged_once(spark, monkeypatch):
     assert len(verdicts) == 24
     plan = dict(plans)["line-postings"]
     assert plan.count("explode(bands") == 1 and "Window" in plan
+
+
+def test_a_line_that_comes_again_is_signed_once(spark, monkeypatch):
+    """Copies of a line are counted by a task that remembers it, and all of a line's rows are one before its bands are made rows."""
+    import pyarrow as pa
+
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f"line number {i} é" for i in ids], pa.string())], names=["lid", "line"])
+
+    def signed():
+        return [r for b in line_dedup._signed(map(batch, ([1, 2, 1], [2, 3, 3, 1], [], [2, 1], [4]))) for r in b.to_pylist()]
+
+    rows = signed()
+    names = [c for c in rows[0] if c not in ("lid", "times")]
+    times = lambda rows: {i: sum(r["times"] for r in rows if r["lid"] == i) for i in range(1, 5)}
+    full = [r for r in rows if all(r[c] is not None for c in names)]
+    assert times(rows) == {1: 4, 2: 3, 3: 2, 4: 1} and sorted(r["lid"] for r in full) == [1, 2, 3, 4]
+    assert all(r in full or all(r[c] is None for c in names) for r in rows)
+    monkeypatch.setattr(line_dedup, "SEEN", 0)  # forgetful: signed again with the same signature
+    more = signed()
+    own = {r["lid"]: [r[c] for c in names] for r in full}
+    assert times(more) == times(rows) and all([r[c] for c in names] == own[r["lid"]] for r in more if r[names[0]] is not None)
+    monkeypatch.undo()
+    written, kept = {}, line_dedup.scratch
+    monkeypatch.setattr(line_dedup, "scratch", lambda df, name: (out := kept(df, name), written.setdefault(name, out.count()))[0])
+    docs = [(i, "\n".join(f"this is the common line {k} of all of the documents" for k in range(5)), "s") for i in range(40)]
+    assert line_dedup.line_verdicts(docs_frame(spark, docs)).where("kept").select("doc_id").distinct().count() == 1
+    assert written["line-signatures"] == 5
